@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .mixing import op7_mix_sources
+from .substrings import OP10_SQL, op10_substring_dedup
 
 QUERIES = {
     "op7_mix_sources": op7_mix_sources,
+    "op10_substring_dedup": op10_substring_dedup,
+}
+ORACLES = {
+    "op10_substring_dedup": OP10_SQL,
 }
-ORACLES: dict[str, str] = {}

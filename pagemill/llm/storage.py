@@ -38,3 +38,18 @@ def tasks(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each i < n an integer that hash partitioning into n sends to partition i.
+
+    Keys dealt this way fill n partitions evenly; any other number of partitions still
+    works, less evenly.  The job reads no data and returns n rows.
+    """
+    tried = int(n * (20 + 4 * max(1, n).bit_length()))
+    found = (
+        spark.range(0, tried, 1, 1).selectExpr("cast(id as int) id", f"pmod(hash(cast(id as int)), {n}) at")
+        .groupBy("at").min("id").collect()
+    )
+    keys = {row[0]: row[1] for row in found}
+    return [keys.get(i, tried + i) for i in range(n)]
