@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .fingerprints import op2_fingerprints
 from .mixing import op7_mix_sources
 from .substrings import OP10_SQL, op10_substring_dedup
 
 QUERIES = {
+    "op2_fingerprints": op2_fingerprints,
     "op7_mix_sources": op7_mix_sources,
     "op10_substring_dedup": op10_substring_dedup,
 }

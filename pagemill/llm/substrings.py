@@ -29,12 +29,12 @@ from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import even_keys, table, tasks, written
+from . import ranges
+from .storage import table, tasks, written
 from .textscan import U, Chunk, check_base, chunks
 
 WIDTH = 20
@@ -104,12 +104,7 @@ class History:
             self.runs.append(merged)
 
 
-def _parts(bounds: np.ndarray, ids: pa.Array) -> np.ndarray:
-    filled = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-    return np.searchsorted(bounds, filled, side="right")
-
-
-def _runs(bounds: np.ndarray, buckets: int, width: int) -> Callable:
+def _runs(cuts: np.ndarray, buckets: int, width: int) -> Callable:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         count, edges = 0, bucket_edges(buckets)
@@ -117,13 +112,13 @@ def _runs(bounds: np.ndarray, buckets: int, width: int) -> Callable:
         def flush() -> Iterator[pa.RecordBatch]:
             for part, arrays in held.items():
                 run = np.unique(np.concatenate(arrays))
-                cuts = np.append(np.searchsorted(run, edges), len(run))
-                out = [(b, part, run[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+                at = np.append(np.searchsorted(run, edges), len(run))
+                out = [(b, part, run[at[b] : at[b + 1]]) for b in range(buckets) if at[b] < at[b + 1]]
                 if out:
                     yield rows_of(out)
 
         for batch in batches:
-            parts = _parts(bounds, batch.column(0))
+            parts = ranges.parts(cuts, batch.column(0))
             for chunk in chunks(batch.column(1)):
                 rows, found = fingerprints(chunk, width)
                 part_of = parts[chunk.lo : chunk.hi][rows]
@@ -243,30 +238,21 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, index: str | None = No
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = tasks(spark)
-    share = [i / n for i in range(1, n)]
-    cuts = rows.agg(F.percentile_approx("doc_id", share or [0.5], F.lit(max(10_000, 20 * n)))).head()[0] if n > 1 else None
-    bounds = np.array(sorted(set(cuts or [])), dtype=np.int64)
-    runs = rows.mapInArrow(_runs(bounds, n, width), _RUN)
+    cuts = ranges.bounds(rows, n)
+    runs = rows.mapInArrow(_runs(cuts, n, width), _RUN)
     old = _old_runs(spark, index)
     if old is not None:
         if not _same_buckets(spark, index, n):
             raise ValueError(f"the index has other buckets than the {n} of spark.sql.shuffle.partitions")
         runs = runs.union(old)
-    keys = F.array(*[F.lit(k) for k in even_keys(spark, n)])
-    runs = runs.withColumn("at", F.element_at(keys, F.col("bucket") + 1)).repartition(n, "at").drop("at")
-    merged = runs.sortWithinPartitions("bucket", "part").mapInArrow(_merge(index is not None), _RUN)
+    merged = ranges.dealt(runs, n, "bucket").sortWithinPartitions("bucket", "part").mapInArrow(_merge(index is not None), _RUN)
     merged = written(merged, "hits")
     if index is not None:
         _add_run(merged.where("part < 0"), index, n)
 
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(dtype=np.int64), side="right"), dtype="int32")
-
-    lines = rows.select(part_of(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("part"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("long").alias("first"), F.lit(None).cast("binary").alias("deltas"), F.lit(None).cast("binary").alias("checks"))
+    lines = rows.select(ranges.part(cuts, F.col("doc_id")).alias("part"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("long").alias("first"), F.lit(None).cast("binary").alias("deltas"), F.lit(None).cast("binary").alias("checks"))
     hits = merged.where("part >= 0").select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "first", "deltas", "checks")
-    both = lines.union(hits).withColumn("at", F.element_at(keys, F.col("part") + 1)).repartition(n, "at").drop("at")
-    return both.sortWithinPartitions("part", "kind", "doc_id", "text").mapInArrow(_remove(width), "doc_id long, n_words long, n_removed long, kept_text string")
+    return ranges.dealt(lines.union(hits), n, "part").sortWithinPartitions("part", "kind", "doc_id", "text").mapInArrow(_remove(width), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def _old_runs(spark: SparkSession, index: str | None) -> DataFrame | None:
