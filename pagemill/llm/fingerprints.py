@@ -3,7 +3,8 @@
 One hash of each shingle gives its bin (top bits) and its value (the rest); a bin keeps its
 least value.  An empty bin i copies the first non-empty bin in a probing order drawn from i
 alone, so two documents that probe alike copy alike and bins agree with probability equal
-to the Jaccard similarity.  The low bits of each bin are packed; chance agreement of those
+to the Jaccard similarity.  The low bits of each bin, hashed once more with the bin's own
+seed so that copies in several bins don't agree by one chance, are packed; chance agreement of those
 bits is subtracted when two fingerprints are compared.
 
 Defined cases: a null text is empty; a text of 1-4 words has its whole sequence as its one
@@ -40,6 +41,7 @@ def _probes(attempts: np.ndarray) -> np.ndarray:
 
 
 _TABLE = _probes(np.arange(_ATTEMPTS))
+_OWN = mix(np.arange(BINS, dtype=U), 9)
 
 
 def densify(bins: np.ndarray) -> np.ndarray:
@@ -65,7 +67,7 @@ def signatures(chunk: Chunk, words: int = WORDS) -> tuple[np.ndarray, np.ndarray
     bins = np.full(n * BINS, _EMPTY, dtype=U)
     np.minimum.at(bins, rows * BINS + (found >> _SHIFT).astype(np.int64), found & ~(_EMPTY << _SHIFT))
     bins = densify(bins.reshape(n, BINS))
-    low = (bins & U((1 << BITS) - 1)).astype(np.uint8)
+    low = (mix(bins + _OWN[None, :]) & U((1 << BITS) - 1)).astype(np.uint8)
     return (low[:, 0::2] << 4) | low[:, 1::2], chunk.counts > 0
 
 
