@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from .fingerprints import op2_fingerprints
 from .mixing import op7_mix_sources
+from .ngram_join import OP5_SQL, op5_ngram_join
 from .substrings import OP10_SQL, op10_substring_dedup
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
+    "op5_ngram_join": op5_ngram_join,
     "op7_mix_sources": op7_mix_sources,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES = {
+    "op5_ngram_join": OP5_SQL,
     "op10_substring_dedup": OP10_SQL,
 }

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
+ROWS = 1024  # of a chunk at most, so that a row number fits beside a 54-bit hash
 U = np.uint64
 _BASE, _WORD_BASE, _CHECK_BASE = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
 _SPACE = np.zeros(256, dtype=bool)
@@ -140,7 +141,7 @@ def chunks(column: pa.Array, lower: bool = False, size: int = CHUNK) -> Iterator
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + ROWS)
         yield scan(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lo, hi, lower)
         lo = hi
 
