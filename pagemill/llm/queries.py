@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from .embeddings import OP1_SQL, op1_embedding_near_dups
 from .fingerprints import op2_fingerprints
 from .mixing import op7_mix_sources
 from .ngram_join import OP5_SQL, op5_ngram_join
 from .substrings import OP10_SQL, op10_substring_dedup
 
 QUERIES = {
+    "op1_embedding_near_dups": op1_embedding_near_dups,
     "op2_fingerprints": op2_fingerprints,
     "op5_ngram_join": op5_ngram_join,
     "op7_mix_sources": op7_mix_sources,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES = {
+    "op1_embedding_near_dups": OP1_SQL,
     "op5_ngram_join": OP5_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
