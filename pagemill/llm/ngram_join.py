@@ -47,7 +47,8 @@ SMALL_GROUP = 4
 STAR = 256  # partners that one verification group holds
 SAMPLE = 20_000  # documents whose shingles are counted to estimate costs
 HOT = 200_000  # frequent shingles kept as estimates
-_FLUSH = 2_000_000
+TILE = 1024  # members of a large group that one task compares with as many
+_FLUSH = 1_000_000
 _TOKEN = U(10)  # bits of a hash that make room for the row
 _INDEX, _PROBE = 1, 2
 
@@ -265,9 +266,9 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(size, pa.int32()), pa.array(flags, pa.int32())], ["kind", "a", "b", "size", "flags"])
 
     def joined(blobs: list[dict]) -> Iterator[pa.RecordBatch]:
-        counts = [np.frombuffer(x["counts"], np.uint32) for x in blobs]
-        owner = np.concatenate([np.repeat(np.frombuffer(x["classes"], np.int64), n) for x, n in zip(blobs, counts, strict=True)])
-        size = np.concatenate([np.repeat(np.frombuffer(x["sizes"], np.int32), n) for x, n in zip(blobs, counts, strict=True)]).astype(np.int64)
+        classes = np.frombuffer(b"".join(x["classes"] for x in blobs), np.int64)
+        sizes = np.frombuffer(b"".join(x["sizes"] for x in blobs), np.int32)
+        counts = np.frombuffer(b"".join(x["counts"] for x in blobs), np.uint32)
         high = np.frombuffer(b"".join(x["high"] for x in blobs), np.uint8)
         found = (high >> 2).astype(U) << U(32) | np.frombuffer(b"".join(x["low"] for x in blobs), np.uint32)
         order = np.argsort(found)
@@ -275,7 +276,8 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = found[1:] == found[:-1]
         multiple = np.append(same, False) | np.append(False, same)
         found, order = found[multiple], order[multiple]
-        owner, size, flags = owner[order], size[order], (high[order] & 3).astype(np.int64)
+        which = np.searchsorted(np.cumsum(counts), order, side="right")
+        owner, size, flags = classes[which], sizes[which].astype(np.int64), (high[order] & 3).astype(np.int64)
         order = np.lexsort((owner, found))  # one class comes once, with all its flags
         found, owner, size, flags = found[order], owner[order], size[order], flags[order]
         first = np.flatnonzero(np.append(True, (np.diff(found) != 0) | (np.diff(owner) != 0))) if len(found) else np.empty(0, int)
@@ -363,13 +365,53 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in linked], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Verified links (a, b) between least doc_ids, of candidate pairs of classes."""
-    n = tasks(rows.sparkSession)
+_MEMBER = ["group", "i", "j", "tile", "rep", "size", "flags", "component", "cells"]
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of members of different components, of tiles i and j of a group, within the bound."""
+
+    def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        both = pa.Table.from_batches(held).combine_chunks()
+        i, j, tile, rep, size, flags, component = (both.column(k).to_numpy() for k in range(1, 8))
+        cells = np.frombuffer(b"".join(both.column(8).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        left = np.flatnonzero(tile == i)
+        right = left if i[0] == j[0] else np.flatnonzero(tile == j)
+        out = []
+        for n, x in enumerate(left):
+            y = right[n + 1 :] if i[0] == j[0] else right
+            y = y[(component[y] != component[x]) & _linkable(size[y], size[x], flags[y], flags[x])]
+            if len(y):
+                y = y[7 * np.abs(cells[y] - cells[x]).sum(axis=1, dtype=np.int64) <= size[y] + size[x]]
+                out += [(min(rep[x], rep[z]), max(rep[x], rep[z])) for z in y]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    now, held = None, []
+    for batch in batches:
+        keys = [batch.column(k).to_numpy() for k in range(3)]
+        change = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1 if batch.num_rows > 1 else []
+        for lo, hi in zip([0, *change], [*change, batch.num_rows], strict=True) if batch.num_rows else []:
+            key = tuple(int(k[lo]) for k in keys)
+            if key != now and held:
+                yield pairs(held)
+                held = []
+            now = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pairs(held)
+
+
+def _within(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of candidate pairs of classes, those within the bound, as least doc_ids."""
     left = classes.select(F.col("class").alias("a"), F.col("rep").alias("rep_a"), F.col("n_shingles").alias("s"), F.col("cells").alias("cells_a"))
     right = classes.select(F.col("class").alias("b"), F.col("rep").alias("rep_b"), F.col("n_shingles").alias("t"), F.col("cells").alias("cells_b"))
-    near = pairs.join(left, "a").join(right, "b").select("rep_a", "rep_b", "s", "t", "cells_a", "cells_b").mapInArrow(_near, "a long, b long")
-    near = written(near, "near")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.select(F.least("rep_a", "rep_b"), F.greatest("rep_a", "rep_b"), "s", "t", "cells_a", "cells_b").mapInArrow(_near, "a long, b long")
+
+
+def _links(near: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Verified links (a, b) of candidate pairs of least doc_ids."""
+    n = tasks(rows.sparkSession)
     whole = classes.select(F.col("rep").alias("doc"), "class")
     wanted = near.select(F.col("a").alias("doc")).union(near.select(F.col("b").alias("doc"))).distinct().join(whole, "doc")
     texts = written(rows.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc"), "texts")
@@ -381,6 +423,18 @@ def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     return members.mapInArrow(_verify, "a long, b long")
 
 
+def _rest(groups: DataFrame, components_of: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidate pairs (least doc_ids) of large groups across the components found so far."""
+    n = tasks(groups.sparkSession)
+    named = classes.select("class", "rep").join(components_of.withColumnRenamed("vertex", "rep"), "rep", "left")
+    placed = written(groups.join(named.select("class", "rep", F.coalesce("component", "rep").alias("component")), "class"), "groups")
+    split = placed.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
+    split = split.select("group", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    tiled = placed.join(split, "group").withColumn("tile", F.pmod(F.xxhash64("class"), "tiles").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    tiled = tiled.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).join(classes.select("class", "cells"), "class")
+    return tiled.select(*_MEMBER).repartition(n, "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_across, "a long, b long").distinct()
+
+
 def profiles(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_profiles, "doc_id long, n_shingles long, class long, cells binary")
@@ -388,7 +442,7 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
-    spark, n = docs.sparkSession, tasks(docs.sparkSession)
+    n = tasks(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     profile = written(profiles(docs), "profiles")
     known = profile.where("n_shingles > 0 and doc_id is not null")
@@ -397,19 +451,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blobs = rows.where("doc_id is not null").select("text").mapInArrow(_signatures(hot, n), _BLOB)
     found = written(dealt(blobs, n, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, _FOUND), "candidates")
 
-    tried = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
+    tried = written(_within(found.where("kind = 0").select("a", "b").distinct(), classes), "pairs")
     links = written(_links(tried, classes, rows), "links")
-    groups = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("class"), "size", "flags").distinct()
     near = components(links)
-    placed = groups.join(classes.select("class", "rep"), "class").join(near.withColumnRenamed("vertex", "rep"), "rep", "left")
-    placed = written(placed.select("group", "class", "size", "flags", F.coalesce("component", "rep").alias("component")), "groups")
-    split = placed.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("group")
-    placed = placed.join(split, "group")
-    one = placed.where(f"(flags & {_PROBE}) > 0").select("group", F.col("class").alias("p"), F.col("size").alias("s"), F.col("component").alias("c"))
-    two = placed.where(f"(flags & {_INDEX}) > 0").select("group", F.col("class").alias("q"), F.col("size").alias("t"), F.col("component").alias("d"))
-    rest = one.join(two, "group").where("c <> d and p <> q and 4 * least(s, t) >= 3 * greatest(s, t)")
-    rest = rest.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = written(rest, "rest")
+    groups = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("class"), "size", "flags").distinct()
+    rest = written(_rest(groups, near, classes).join(tried, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
         near = components(links.union(_links(rest, classes, rows)))
     found = profile.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
