@@ -29,9 +29,9 @@ from .subwords import distinct_words, labelled_sample, ngrams
 from .textscan import chunks
 
 SIZES = (3, 4, 5, 6)
-BITS = 18
+BITS = 17
 DIM = 8
-WINDOW = 8
+WINDOW = 2
 SAMPLE = 6_000  # labelled rows that the model is trained on
 LONGEST = 20_000  # characters of a text that is trained on
 CALIBRATION = 5  # one of so many sampled rows is kept for calibration
@@ -81,11 +81,11 @@ class Texts:
         place: dict[bytes, int] = {}
         for chunk in chunks(pa.array(texts, pa.large_string()), lower=True):
             own, inside = distinct_words(chunk)
-            name = np.array([place.setdefault(w, len(place)) for w in own], dtype=np.int64)
-            which.append(name[inside] if len(own) else np.empty(0, np.int64))
+            name = np.array([place.setdefault(w, len(place)) for w in own], dtype=np.int32)
+            which.append(name[inside] if len(own) else np.empty(0, np.int32))
             at.extend((at[-1] + np.cumsum(chunk.counts)).tolist())
         self.words, self.which, self.word_at = list(place), np.concatenate(which), np.array(at)
-        self.of_word, self.bucket = ngrams(self.words, SIZES, BITS)
+        self.of_word, self.bucket = (x.astype(np.int32) for x in ngrams(self.words, SIZES, BITS))
         self.counts = np.bincount(self.of_word, minlength=len(self.words)).astype(np.float64)
 
     def word_sums(self, odds: np.ndarray) -> np.ndarray:
