@@ -365,36 +365,45 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in linked], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-_MEMBER = ["group", "i", "j", "tile", "rep", "size", "flags", "component", "cells"]
+_MEMBER = ["anchor", "i", "j", "group", "tile", "rep", "size", "flags", "component", "cells"]
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of members of different components, of tiles i and j of a group, within the bound."""
+    """Pairs of members of different components, of tiles i and j of a group, within the bound.
+
+    Groups of one anchor follow one another, and a pair that they share is given once.
+    """
+    known: set[tuple[int, int]] = set()
 
     def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         both = pa.Table.from_batches(held).combine_chunks()
-        i, j, tile, rep, size, flags, component = (both.column(k).to_numpy() for k in range(1, 8))
-        cells = np.frombuffer(b"".join(both.column(8).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        i, j = both.column(1)[0].as_py(), both.column(2)[0].as_py()
+        tile, rep, size, flags, component = (both.column(k).to_numpy() for k in range(4, 9))
+        cells = np.frombuffer(b"".join(both.column(9).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
         left = np.flatnonzero(tile == i)
-        right = left if i[0] == j[0] else np.flatnonzero(tile == j)
+        right = left if i == j else np.flatnonzero(tile == j)
         out = []
         for n, x in enumerate(left):
-            y = right[n + 1 :] if i[0] == j[0] else right
+            y = right[n + 1 :] if i == j else right
             y = y[(component[y] != component[x]) & _linkable(size[y], size[x], flags[y], flags[x])]
             if len(y):
                 y = y[7 * np.abs(cells[y] - cells[x]).sum(axis=1, dtype=np.int64) <= size[y] + size[x]]
                 out += [(min(rep[x], rep[z]), max(rep[x], rep[z])) for z in y]
+        out = [x for x in out if x not in known]
+        known.update(out)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     now, held = None, []
     for batch in batches:
-        keys = [batch.column(k).to_numpy() for k in range(3)]
+        keys = [batch.column(k).to_numpy() for k in range(4)]
         change = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1 if batch.num_rows > 1 else []
         for lo, hi in zip([0, *change], [*change, batch.num_rows], strict=True) if batch.num_rows else []:
             key = tuple(int(k[lo]) for k in keys)
             if key != now and held:
                 yield pairs(held)
                 held = []
+            if now and key[:3] != now[:3]:
+                known.clear()
             now = key
             held.append(batch.slice(lo, hi - lo))
     if held:
@@ -409,12 +418,9 @@ def _within(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select(F.least("rep_a", "rep_b"), F.greatest("rep_a", "rep_b"), "s", "t", "cells_a", "cells_b").mapInArrow(_near, "a long, b long")
 
 
-def _links(near: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+def _links(near: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links (a, b) of candidate pairs of least doc_ids."""
-    n = tasks(rows.sparkSession)
-    whole = classes.select(F.col("rep").alias("doc"), "class")
-    wanted = near.select(F.col("a").alias("doc")).union(near.select(F.col("b").alias("doc"))).distinct().join(whole, "doc")
-    texts = written(rows.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc"), "texts")
+    n = tasks(near.sparkSession)
     counted = near.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("pieces"))
     star = near.join(counted, "a").select("a", F.pmod(F.xxhash64("b"), "pieces").cast("int").alias("piece"), "b")
     members = star.select("a", "piece", F.lit(1).alias("kind"), F.col("b").alias("doc")).union(star.select("a", "piece").distinct().select("a", "piece", F.lit(0), "a"))
@@ -424,15 +430,21 @@ def _links(near: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _rest(groups: DataFrame, components_of: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidate pairs (least doc_ids) of large groups across the components found so far."""
+    """Candidate pairs (least doc_ids) of large groups across the components found so far.
+
+    Groups of one family share its largest component, so the least component of a group
+    anchors it: groups of one anchor meet in the same tasks, where repeated pairs end.
+    """
     n = tasks(groups.sparkSession)
     named = classes.select("class", "rep").join(components_of.withColumnRenamed("vertex", "rep"), "rep", "left")
     placed = written(groups.join(named.select("class", "rep", F.coalesce("component", "rep").alias("component")), "class"), "groups")
-    split = placed.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
-    split = split.select("group", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    tiled = placed.join(split, "group").withColumn("tile", F.pmod(F.xxhash64("class"), "tiles").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    split = placed.groupBy("group").agg(F.min("component").alias("anchor"), F.max("component").alias("y"), F.count("*").alias("n")).where("anchor <> y")
+    tiles = split.groupBy("anchor").agg(F.ceil(F.max("n") / TILE).cast("int").alias("tiles"))
+    tiled = placed.join(split.join(tiles, "anchor").select("group", "anchor", "tiles"), "group")
+    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("class"), "tiles").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
     tiled = tiled.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).join(classes.select("class", "cells"), "class")
-    return tiled.select(*_MEMBER).repartition(n, "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_across, "a long, b long").distinct()
+    dealt_out = tiled.select(*_MEMBER).repartition(n, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "group")
+    return written(dealt_out.mapInArrow(_across, "a long, b long").distinct(), "across")
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -452,12 +464,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = written(dealt(blobs, n, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, _FOUND), "candidates")
 
     tried = written(_within(found.where("kind = 0").select("a", "b").distinct(), classes), "pairs")
-    links = written(_links(tried, classes, rows), "links")
-    near = components(links)
     groups = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("class"), "size", "flags").distinct()
+    whole = classes.select(F.col("rep").alias("doc"), "class")
+    wanted = tried.select(F.col("a").alias("doc")).union(tried.select("b")).union(groups.select("class").distinct().join(whole, "class").select("doc"))
+    texts = rows.select(F.col("doc_id").alias("doc"), "text").join(wanted.distinct().join(whole, "doc"), "doc")
+    texts = written(texts, "texts")
+    links = written(_links(tried, texts), "links")
+    near = components(links)
     rest = written(_rest(groups, near, classes).join(tried, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        near = components(links.union(_links(rest, classes, rows)))
+        near = components(links.union(_links(rest, texts)))
     found = profile.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
     found = found.join(classes.select("class", "rep"), "class", "left").join(near.withColumnRenamed("vertex", "rep"), "rep", "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))

@@ -7,12 +7,14 @@ from .fingerprints import op2_fingerprints
 from .langid import op6_language_id
 from .mixing import op7_mix_sources
 from .ngram_join import OP5_SQL, op5_ngram_join
+from .pieces import op3_sentencepiece
 from .substrings import OP10_SQL, op10_substring_dedup
 from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_embedding_near_dups": op1_embedding_near_dups,
     "op2_fingerprints": op2_fingerprints,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_join": op5_ngram_join,
     "op6_language_id": op6_language_id,
