@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .embeddings import OP1_SQL, op1_embedding_near_dups
 from .fingerprints import op2_fingerprints
+from .html_text import op8_html_text
 from .langid import op6_language_id
 from .mixing import op7_mix_sources
 from .ngram_join import OP5_SQL, op5_ngram_join
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_ngram_join": op5_ngram_join,
     "op6_language_id": op6_language_id,
     "op7_mix_sources": op7_mix_sources,
+    "op8_html_text": op8_html_text,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES = {
