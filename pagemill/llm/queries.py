@@ -6,6 +6,7 @@ from .embeddings import OP1_SQL, op1_embedding_near_dups
 from .fingerprints import op2_fingerprints
 from .html_text import op8_html_text
 from .langid import op6_language_id
+from .lines import op9_line_dedup
 from .mixing import op7_mix_sources
 from .ngram_join import OP5_SQL, op5_ngram_join
 from .pieces import op3_sentencepiece
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_mix_sources": op7_mix_sources,
     "op8_html_text": op8_html_text,
+    "op9_line_dedup": op9_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES = {
