@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import table
 from .subwords import distinct_words, labelled_sample, ngrams
@@ -169,17 +170,17 @@ def calibrate(model: Model, worst: np.ndarray, y: np.ndarray) -> Model:
     return Model(model.odds, model.bias, float(w[0]) / scale, float(w[1]) + float(w[0]) / scale * model.bias)
 
 
-def _score(model: Model) -> Callable:
+def _score(model: Model, text: int, name: str) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(1), lower=True):
+            for chunk in chunks(batch.column(text), lower=True):
                 words, which = distinct_words(chunk)
                 of_word, bucket = ngrams(words, SIZES, BITS)
                 sums = np.bincount(of_word, model.odds[bucket], len(words))[which]
                 counts = np.bincount(of_word, minlength=len(words)).astype(np.float64)[which]
                 worst, _ = worst_windows(sums, counts, chunk.word_at)
                 n = chunk.hi - chunk.lo
-                yield pa.RecordBatch.from_arrays([*(c.slice(chunk.lo, n) for c in batch.columns), pa.array(model.scores(worst))], [*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(chunk.lo, n) for c in batch.columns), pa.array(model.scores(worst))], [*batch.schema.names, name])
 
     return score
 
@@ -197,14 +198,14 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, text, score of each row of ``docs``; no row moves."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(model), "doc_id long, text string, score double")
+def add_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with the score of its ``text`` as a last column; no row moves."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_score(model, docs.columns.index("text"), name), schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels"))
-    found = score(docs, model)
+    found = add_score(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
