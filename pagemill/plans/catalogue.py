@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from . import line_queries
+
+_PARTS = (line_queries,)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _part in _PARTS:
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
 FLAGSHIP = "convert_topics"
