@@ -83,7 +83,7 @@ v_blocks as (
       when k = 12 then 'note_header' when k = 13 then 'figure' when k = 14 then 'code_block' else 'paragraph' end as type,
     case when k <= 1 then 1 when k = 2 then 2 when k = 3 then 3 else 0 end as level,
     case when k between 4 and 7 then 'numbered' when k between 10 and 11 then 'bullet' end as list_kind,
-    line as text, case when k between 8 and 9 then [string_split(line, ' '), ['x', 'y']] end as rows
+    cast(null as varchar) as note_type, line as text, case when k between 8 and 9 then [string_split(line, ' '), ['x', 'y']] end as rows
   from v_keyed)""",
     "v_words": r"""v_tokens as (
   select doc_id, line_no, unnest(string_split(line, ' ')) as text, unnest(range(len(string_split(line, ' ')))) as word_seq from v_lines),
