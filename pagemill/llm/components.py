@@ -1,9 +1,10 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Each round is two shuffles keyed by vertex; a vertex's neighbours are reduced by ``min``
-with map-side aggregation, so a hub of any degree is never gathered in one task.  Tasks
-first contract their own edges with a union-find, which leaves at most one edge a vertex
-and task.  Rounds are written to the shared folder, so lineage stays short.
+Edges are first contracted within tasks by a union-find, which leaves at most one a vertex
+and task.  If no more than LOCAL are left, one task finishes; it holds 16 bytes an edge.
+Beyond that rounds go on: each is two shuffles keyed by vertex; a vertex's neighbours are reduced by ``min``
+with map-side aggregation, so a hub of any degree is never gathered in one task.  Rounds
+are written to the shared folder, so lineage stays short.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import narrow, written
 
 EDGES = "a long, b long"
+LOCAL = 2_000_000  # edges that one task may hold
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,10 +54,10 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left.append(batch.column(0).to_numpy())
             right.append(batch.column(1).to_numpy())
             held += batch.num_rows
-            if held > 2_000_000:
+            if held > LOCAL:
                 done = out()
                 left, right, held = [done.column(0).to_numpy()], [done.column(1).to_numpy()], done.num_rows
-                if held > 1_000_000:  # as many vertices: pass them on, later rounds go on
+                if held > LOCAL // 2:  # as many vertices: pass them on, later rounds go on
                     yield done
                     left, right, held = [], [], 0
     if held:
@@ -66,14 +68,16 @@ def contract(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_contract, EDGES)
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame, limit: int = 60, local: int = LOCAL) -> DataFrame:
     """(vertex, component) of every vertex with an edge; component is the least vertex.
 
     ``edges`` has long columns ``a`` and ``b``.  Null ends and self-loops are ignored,
     direction and repeats don't matter; an empty table gives an empty table.
     """
     edges = edges.where("a is not null and b is not null and a <> b")
-    now = written(contract(edges), "edges")
+    now = written(narrow(contract(edges)), "edges")
+    if now.count() <= local:
+        return _stars(written(contract(now.coalesce(1)), "stars"))
     for _ in range(limit):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -90,5 +94,9 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
-    stars = now.distinct()
+    return _stars(now.distinct())
+
+
+def _stars(stars: DataFrame) -> DataFrame:
+    """Edges (root, vertex) as rows (vertex, component), the roots' own included."""
     return stars.select(F.col("b").alias("vertex"), F.col("a").alias("component")).union(stars.select(F.col("a").alias("vertex"), F.col("a").alias("component")).distinct())

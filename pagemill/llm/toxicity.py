@@ -33,10 +33,11 @@ SIZES = (3, 4, 5, 6)
 BITS = 17
 DIM = 8
 WINDOW = 2
-SAMPLE = 6_000  # labelled rows that the model is trained on
-LONGEST = 20_000  # characters of a text that is trained on
+SAMPLE = 4_000  # labelled rows that the model is trained on
+LONGEST = 10_000  # characters of a text that is trained on
 CALIBRATION = 5  # one of so many sampled rows is kept for calibration
 STEPS, REFINE = 60, 60
+_SLICE = 20_000  # distinct words whose subwords are worked on at a time
 
 
 @dataclass
@@ -78,19 +79,30 @@ class Texts:
     """Training texts as distinct words, their subwords, and words in order."""
 
     def __init__(self, texts: list[str]) -> None:
-        self.words, which, at = [], [], [0]
+        which, at = [], [0]
         place: dict[bytes, int] = {}
         for chunk in chunks(pa.array(texts, pa.large_string()), lower=True):
             own, inside = distinct_words(chunk)
             name = np.array([place.setdefault(w, len(place)) for w in own], dtype=np.int32)
             which.append(name[inside] if len(own) else np.empty(0, np.int32))
             at.extend((at[-1] + np.cumsum(chunk.counts)).tolist())
-        self.words, self.which, self.word_at = list(place), np.concatenate(which), np.array(at)
-        self.of_word, self.bucket = (x.astype(np.int32) for x in ngrams(self.words, SIZES, BITS))
-        self.counts = np.bincount(self.of_word, minlength=len(self.words)).astype(np.float64)
+        self.n, self.which, self.word_at = len(place), np.concatenate(which), np.array(at)
+        words = list(place)
+        self.slices = []  # (first word, word of each subword, bucket of each subword)
+        self.counts = np.zeros(self.n)
+        for lo in range(0, self.n, _SLICE):
+            of_word, bucket = (x.astype(np.int32) for x in ngrams(words[lo : lo + _SLICE], SIZES, BITS))
+            self.slices.append((lo, of_word, bucket))
+            self.counts[lo : lo + _SLICE] = np.bincount(of_word, minlength=min(_SLICE, self.n - lo))
 
     def word_sums(self, odds: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of_word, odds[self.bucket], len(self.words))
+        return np.concatenate([np.bincount(w, odds[b], min(_SLICE, self.n - lo)) for lo, w, b in self.slices]) if self.slices else np.zeros(0)
+
+    def bucket_sums(self, by_word: np.ndarray) -> np.ndarray:
+        total = np.zeros(1 << BITS)
+        for lo, w, b in self.slices:
+            total += np.bincount(b, by_word[lo + w], 1 << BITS)
+        return total.astype(np.float32)
 
 
 class _Adam:
@@ -141,8 +153,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
         change = np.zeros(len(words) + 1)
         np.add.at(change, start, pull / size)
         np.add.at(change, end, -pull / size)
-        by_word = np.bincount(fit.which, np.cumsum(change)[:-1], len(fit.words))
-        by_bucket = np.bincount(fit.bucket, by_word[fit.of_word], 1 << BITS).astype(np.float32)
+        by_word = np.bincount(fit.which, np.cumsum(change)[:-1], fit.n)
+        by_bucket = fit.bucket_sums(by_word)
         top = vectors.T @ by_bucket
         vectors -= adam.step(by_bucket[:, None] * (softmax[:, 1] - softmax[:, 0])[None, :] * len(y))
         softmax -= adam_top.step(np.stack([-top, top], axis=1) * len(y))
