@@ -148,24 +148,24 @@ select doc_id, page_no, cast(mark_flow as int) as mark_flow, 'reg' as tm, line_t
 
 def band_join_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = V.spans(spark, sf_dir)
-    numbered = L.number_sessions(marks.where("id % 10 = 1")).withColumn("number", F.col("number").cast("long"))
-    return L.nearest_mark(marks.where("id % 3 = 0"), numbered, "number")
+    numbered = L.number_sessions(marks.where("kind = 'click'")).withColumn("number", F.col("number").cast("long"))
+    return L.nearest_mark(marks.where("kind <> 'click'"), numbered, "number")
 
 
-NUMBERS_SQL = V.with_views("v_spans", """a0 as (select *, case when y - lag(y) over (partition by page_no order by y, id) > 200 then 1 else 0 end as n from v_spans where id % 10 = 1),
+NUMBERS_SQL = V.with_views("v_spans", """a0 as (select *, case when y - lag(y) over (partition by page_no order by y, id) > 200 then 1 else 0 end as n from v_spans where kind = 'click'),
 a1 as (select *, sum(n) over (partition by page_no order by y, id rows unbounded preceding) as s from a0),
 a2 as (select *, row_number() over (partition by page_no, s order by y, id) as number from a1),
-a as (select page_no, y, arg_max(number, id) as number from a2 group by 1, 2), p as (select * from v_spans where id % 3 = 0)
+a as (select page_no, y, arg_max(number, id) as number from a2 group by 1, 2), p as (select * from v_spans where kind <> 'click')
 select p.id, min(a.y) as mark_y, arg_min(a.number, a.y) as number from p join a on a.page_no = p.page_no and a.y between p.y - 15 and p.y + 15 group by p.id""")
 
 
 def band_join_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = V.spans(spark, sf_dir)
-    links = marks.where("id % 4 = 1").withColumn("uri", F.concat(F.lit("https://example.org/"), F.col("id")))
-    return L.nearest_mark(marks.where("id % 4 = 2"), links, "uri")
+    links = marks.where("kind = 'view'").withColumn("uri", F.concat(F.lit("https://example.org/"), F.col("id")))
+    return L.nearest_mark(marks.where("kind <> 'view'"), links, "uri")
 
 
-LINKS_SQL = V.with_views("v_spans", """a as (select page_no, y, arg_max('https://example.org/' || id, id) as uri from v_spans where id % 4 = 1 group by 1, 2), p as (select * from v_spans where id % 4 = 2)
+LINKS_SQL = V.with_views("v_spans", """a as (select page_no, y, arg_max('https://example.org/' || id, id) as uri from v_spans where kind = 'view' group by 1, 2), p as (select * from v_spans where kind <> 'view')
 select p.id, min(a.y) as mark_y, arg_min(a.uri, a.y) as uri from p join a on a.page_no = p.page_no and a.y between p.y - 15 and p.y + 15 group by p.id""")
 
 

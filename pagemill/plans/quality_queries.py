@@ -106,11 +106,11 @@ _BRAND_TEXT = [(-1, "Encore and Passport"), (-2, "Atlas Islander Encore"), (-3,
 
 
 def brand_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = V.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("text"))
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
     return Q.expected_brand(docs.union(V.literal(spark, "doc_id long, text string", _BRAND_TEXT)), _BRANDS)
 
 
-BRAND_SQL = "with " + V.values("x", "doc_id long, text string", _BRAND_TEXT) + f""", al as (select doc_id, {_NORM.format("t")} as h from (select doc_id, substring(text, 1, 40) as t from documents union all select doc_id, text from x)),
+BRAND_SQL = "with " + V.values("x", "doc_id long, text string", _BRAND_TEXT) + f""", al as (select doc_id, {_NORM.format("t")} as h from (select doc_id, text as t from documents union all select doc_id, text from x)),
 s as (select doc_id, contains(h, 'passport') or contains(h, 'flexpay') as b1, contains(h, 'encore')::int + contains(h, 'frontier')::int + contains(h, 'the')::int as b2,
   contains(h, 'atlas')::int + contains(h, 'islander')::int + contains(h, 'ing')::int as b3, contains(h, 'angi') or contains(h, 'der') as b4 from al)
 select doc_id, case when b2 > 0 and b2 >= b3 then 'b2' when b3 > 0 then 'b3' when b1 then 'b1' when b4 then 'b4' end as brand from s"""
@@ -217,10 +217,10 @@ OVERALL_SQL = V.with_views("v_lines", _CHECKS_SQL + """ select doc_id, ['pass',
 
 
 def text_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.too_short(V.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("text")))
+    return Q.too_short(V.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-GUARD_SQL = """select doc_id, cast(sum(length(trim(substring(text, 1, 60), E' \\n'))) as bigint) as n_chars, case when sum(length(trim(substring(text, 1, 60), E' \\n'))) < 50 then 'no text layer' end as error from documents group by 1"""
+GUARD_SQL = """select doc_id, cast(sum(length(trim(text, E' \\n'))) as bigint) as n_chars, case when sum(length(trim(text, E' \\n'))) < 50 then 'no text layer' end as error from documents group by 1"""
 
 QUERIES = {f.__name__: f for f in (normalize_text, quote_counts, footer_lines, footer_title_pick, footer_consistency, month_misspelling, bookmark_match, brand_detect, watermark_spans, change_bars, even_pages, blank_notice, quality_checks, overall_status, text_guard)}
 ORACLES = dict(zip(QUERIES, (NORM_SQL, QUOTE_SQL, FOOTER_SQL, TITLE_SQL, CONSISTENCY_SQL, SPELT_SQL, BOOKMARK_SQL, BRAND_SQL, WATERMARK_SQL, BAR_SQL, EVEN_SQL, NOTICE_SQL, CHECKS_SQL, OVERALL_SQL, GUARD_SQL), strict=True))
