@@ -211,7 +211,7 @@ def cals_table_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FIXED_TABLE = '<table frame="all"><tgroup cols="3"><colspec colname="col1" colnum="1"/><colspec colname="col2" colnum="2"/><colspec colname="col3" colnum="3"/><thead><row><entry namest="col1" nameend="col3">Group</entry></row></thead><tbody><row><entry>A</entry><entry>B</entry><entry>C</entry></row><row><entry>1</entry><entry>2</entry><entry/></row></tbody></tgroup></table>'
-TABLE_SQL = f"""with c as (select l_orderkey as id, list(case when l_quantity > 25 then [cast(l_linenumber as varchar), l_returnflag, l_linestatus] else [cast(l_linenumber as varchar), l_returnflag] end order by l_linenumber, l_suppkey, l_partkey) as rows from lineitem group by 1),
+TABLE_SQL = f"""with c as (select l_orderkey as id, list(case when l_quantity > 25 then [cast(l_linenumber as varchar), l_returnflag, l_linestatus] else [cast(l_linenumber as varchar), l_returnflag] end order by l_linenumber, l_suppkey, l_partkey, l_returnflag, l_quantity > 25, l_linestatus) as rows from lineitem group by 1),
 n as (select id, rows, list_max(list_transform(rows, lambda r: len(r))) as nc from c), x as (select id, nc, {_ROWS} as rx from n)
 select id, {_TABLE} as xml from x union all select -1, '{_FIXED_TABLE}'"""
 
