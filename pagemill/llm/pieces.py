@@ -35,7 +35,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
 BYTE = 1e-9
 SEED = 1
-_CHUNK = 3 << 20
+_CHUNK = 1 << 20
 _MARK = "▁"
 _STEP = U(0x9E3779B97F4A7C15)
 _CODE = mix(np.arange(1, 257, dtype=U), 23)
