@@ -22,7 +22,8 @@ element counts in 128 cells of the universe) and are then verified on whole text
 Defined cases: null texts and texts without words have empty sets and no links; 1-4 words
 give one shingle, the whole sequence; equal sets are one class, linked through its least
 doc_id; rows with a null doc_id are given back with their set's size and a null component,
-and link nothing; rows of one doc_id share their components; an empty table gives an empty
+and link nothing; rows of one doc_id
+are versions of one document, in one component; an empty table gives an empty
 table; other columns are ignored.
 """
 
@@ -469,7 +470,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = tried.select(F.col("a").alias("doc")).union(tried.select("b")).union(groups.select("class").distinct().join(whole, "class").select("doc"))
     texts = rows.select(F.col("doc_id").alias("doc"), "text").join(wanted.distinct().join(whole, "doc"), "doc")
     texts = written(texts, "texts")
-    links = written(narrow(_links(tried, texts)), "links")
+    versions = known.groupBy("doc_id").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("doc_id")
+    own = known.join(versions, "doc_id").join(classes.select("class", "rep"), "class").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = written(narrow(_links(tried, texts).union(own)), "links")
     near = components(links)
     rest = written(narrow(_rest(groups, near, classes).join(tried, ["a", "b"], "left_anti")), "rest")
     if rest.limit(1).count():

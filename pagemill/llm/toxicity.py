@@ -35,6 +35,7 @@ DIM = 8
 WINDOW = 2
 SAMPLE = 4_000  # labelled rows that the model is trained on
 LONGEST = 10_000  # characters of a text that is trained on
+COMMON = 0.01  # uses of a subword for each text, a word counting once a text, below which it is not learnt
 CALIBRATION = 5  # one of so many sampled rows is kept for calibration
 STEPS, REFINE = 60, 60
 _SLICE = 20_000  # distinct words whose subwords are worked on at a time
@@ -98,6 +99,12 @@ class Texts:
     def word_sums(self, odds: np.ndarray) -> np.ndarray:
         return np.concatenate([np.bincount(w, odds[b], min(_SLICE, self.n - lo)) for lo, w, b in self.slices]) if self.slices else np.zeros(0)
 
+    def common(self, least: int) -> np.ndarray:
+        """1 for the buckets that enough texts use, so that no single text is learnt by heart."""
+        rows = np.repeat(np.arange(len(self.word_at) - 1), np.diff(self.word_at))
+        texts = np.bincount(np.unique(rows * np.int64(self.n) + self.which) % max(1, self.n), minlength=self.n)
+        return (self.bucket_sums(texts.astype(np.float64)) >= least).astype(np.float32)
+
     def bucket_sums(self, by_word: np.ndarray) -> np.ndarray:
         total = np.zeros(1 << BITS)
         for lo, w, b in self.slices:
@@ -126,6 +133,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
     y = labels[~held].astype(np.float64)
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
+    known = fit.common(max(3, int(COMMON * len(y))))[:, None]
+    vectors *= known
     softmax = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
     bias = float(np.log(y.mean() / (1 - y.mean())))
     adam, adam_top = _Adam(vectors.shape, 0.05), _Adam(softmax.shape, 0.01)
@@ -156,7 +165,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
         by_word = np.bincount(fit.which, np.cumsum(change)[:-1], fit.n)
         by_bucket = fit.bucket_sums(by_word)
         top = vectors.T @ by_bucket
-        vectors -= adam.step(by_bucket[:, None] * (softmax[:, 1] - softmax[:, 0])[None, :] * len(y))
+        vectors -= known * adam.step(by_bucket[:, None] * (softmax[:, 1] - softmax[:, 0])[None, :] * len(y))
         softmax -= adam_top.step(np.stack([-top, top], axis=1) * len(y))
         if step >= STEPS:
             bias -= 0.1 * float(pull.sum())
