@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .storage import table, tasks, written
+from .storage import narrow, table, tasks, written
 
 COSINE = 0.95
 AXES = 16  # leading axes that bound distances
@@ -109,22 +109,22 @@ def block_pairs(blocks: DataFrame, reach: float) -> DataFrame:
     """(s, t), s <= t: pairs of blocks whose boxes are within the distance ``reach``."""
     from pyspark.sql import Window
 
-    boxes = written(blocks.select("block", "low", "high"), "boxes")
+    boxes = blocks.select("block", "low", "high")
     counts = boxes.groupBy((F.shiftright("block", 32)).alias("part")).count()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     starts = counts.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     rank = F.col("start") + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
-    leaves = written(boxes.join(starts, F.shiftright("block", 32) == F.col("part")).select("block", rank.alias("node"), "low", "high"), "leaves")
+    leaves = written(narrow(boxes.join(starts, F.shiftright("block", 32) == F.col("part")).select("block", rank.alias("node"), "low", "high")), "leaves")
     levels, n = [leaves.select("node", "low", "high")], leaves.count()
     while n > 1:
         n = -(-n // FAN)
         ends = [F.array(*[f(F.col(side)[k]) for k in range(_width(leaves))]).alias(side) for side, f in (("low", F.min), ("high", F.max))]
-        levels.append(written(levels[-1].groupBy(F.floor(F.col("node") / FAN).alias("node")).agg(*ends), "level"))
+        levels.append(written(narrow(levels[-1].groupBy(F.floor(F.col("node") / FAN).alias("node")).agg(*ends)), "level"))
     pairs = levels[-1].select(F.col("node").alias("s"), F.col("node").alias("t"))
     for level in levels[-2::-1]:
         a = level.select(F.col("node").alias("x"), F.floor(F.col("node") / FAN).alias("s"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
         b = level.select(F.col("node").alias("y"), F.floor(F.col("node") / FAN).alias("t"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
-        pairs = written(pairs.join(a, "s").join(b, "t").where(f"x <= y and {_gap('a', 'b')} <= {reach * reach!r}").select(F.col("x").alias("s"), F.col("y").alias("t")), "level")
+        pairs = written(narrow(pairs.join(a, "s").join(b, "t").where(f"x <= y and {_gap('a', 'b')} <= {reach * reach!r}").select(F.col("x").alias("s"), F.col("y").alias("t"))), "level")
     name = leaves.select("node", "block")
     return pairs.join(name.toDF("s", "a"), "s").join(name.toDF("t", "b"), "t").select("a", "b")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import WORD
-from .storage import table, written
+from .storage import kept, table
 
 LENGTH = 10  # words of a block that is deleted, or eight characters for each where words are rare
 RARE = 0.001  # share of the documents that hold a line, at most, for it to be rare
@@ -129,7 +129,7 @@ def dedup_lines(docs: DataFrame, length: int = LENGTH, rare: float = RARE) -> Da
         F.expr(f"transform({lines}, x -> xxhash64(x))").alias("lines"),
         F.expr(f"transform({lines}, x -> cast(greatest(regexp_count(x, r'{WORD}'), length(x) div 8) as int))").alias("weights"),
     )
-    hashed = written(hashed, "lines")
+    hashed = kept(hashed)
     n = hashed.count()
     one = F.explode(F.expr("array_distinct(arrays_zip(lines, weights))")).alias("x")
     held = hashed.select("doc", one).select("doc", F.col("x.lines").alias("line"), F.col("x.weights").alias("weight"))
@@ -140,12 +140,11 @@ def dedup_lines(docs: DataFrame, length: int = LENGTH, rare: float = RARE) -> Da
     partners = pairs.join(earlier, "first").groupBy("doc").agg(F.collect_list("earlier").alias("partners"))
     masks = hashed.join(partners, "doc").select("doc", "version", "lines", "weights", "partners").dropDuplicates(["doc", "version"])
     masks = masks.mapInArrow(_masks(length), "line_doc long, line_version long, line_mask array<boolean>, line_gone long").where("line_gone > 0")
-    masks = written(masks, "masks")
     same = (F.col("doc_id").cast("long") == F.col("line_doc")) & (F.xxhash64("text") == F.col("line_version"))
     out = docs.join(masks, same, "left")
-    kept = F.when(F.col("line_mask").isNull(), F.col("text")).otherwise(F.expr(f"array_join(filter({lines}, (x, i) -> not element_at(line_mask, i + 1)), '\\n')"))
+    left = F.when(F.col("line_mask").isNull(), F.col("text")).otherwise(F.expr(f"array_join(filter({lines}, (x, i) -> not element_at(line_mask, i + 1)), '\\n')"))
     counted = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.expr(f"size({lines})")).cast("long")
-    return out.select(*docs.columns, kept.alias("kept_text"), counted.alias("n_lines"), F.coalesce("line_gone", F.lit(0)).cast("long").alias("n_removed"))
+    return out.select(*docs.columns, left.alias("kept_text"), counted.alias("n_lines"), F.coalesce("line_gone", F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import table, written
+from .storage import kept, narrow, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3.0
@@ -115,8 +115,8 @@ def _round(cells: pd.DataFrame, cap: float) -> pd.DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken of each row of ``docs``."""
-    rows = written(sized(docs), "sizes")
-    cells = written(rows.groupBy(*_KEYS, "size").agg(F.count("*").alias("n")), "cells")
+    rows = kept(sized(docs))
+    cells = written(narrow(rows.groupBy(*_KEYS, "size").agg(F.count("*").alias("n"))), "cells")
     sources = cells.groupBy(*_KEYS).agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n"))
     sources = targets(sources, weights, cap)
     spark, known = docs.sparkSession, sources.collect()  # one row a source
@@ -128,7 +128,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -
     fixed = F.when(F.col("tilt") == F.lit(math.inf), F.lit(float(cap))).when(F.col("tilt") == F.lit(-math.inf), F.lit(0.0)).otherwise(rate(F.col("tilt"), F.col("size"), cap))
     rates = cells.join(table_of, _KEYS).select(*_KEYS, "size", "n", fixed.alias("rate"))
     rounded = rates.groupBy(*_KEYS).applyInPandas(lambda pdf: _round(pdf, cap), "no_source boolean, source_key string, size long, n long, copies long")
-    rounded = written(rounded, "copies")
+    rounded = written(narrow(rounded), "copies")
 
     hashed = rows.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("salt", F.substring("hash", 1, _SALTS))
     cell = [*_KEYS, "size"]

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .ranges import dealt
-from .storage import narrow, table, tasks, written
+from .storage import kept, narrow, table, tasks, written
 from .textscan import U, Chunk, chunks, mix
 
 WORDS = 5
@@ -438,7 +438,7 @@ def _rest(groups: DataFrame, components_of: DataFrame, classes: DataFrame) -> Da
     """
     n = tasks(groups.sparkSession)
     named = classes.select("class", "rep").join(components_of.withColumnRenamed("vertex", "rep"), "rep", "left")
-    placed = written(narrow(groups.join(named.select("class", "rep", F.coalesce("component", "rep").alias("component")), "class")), "groups")
+    placed = groups.join(named.select("class", "rep", F.coalesce("component", "rep").alias("component")), "class")
     split = placed.groupBy("group").agg(F.min("component").alias("anchor"), F.max("component").alias("y"), F.count("*").alias("n")).where("anchor <> y")
     tiles = split.groupBy("anchor").agg(F.ceil(F.max("n") / TILE).cast("int").alias("tiles"))
     tiled = placed.join(split.join(tiles, "anchor").select("group", "anchor", "tiles"), "group")
@@ -457,24 +457,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
     n = tasks(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    profile = written(profiles(docs), "profiles")
+    profile = kept(profiles(docs))
     known = profile.where("n_shingles > 0 and doc_id is not null")
     classes = written(narrow(known.groupBy("class", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("cells").alias("cells"))), "classes")
     hot = hot_shingles(rows, profile.count())
     blobs = rows.where("doc_id is not null").select("text").mapInArrow(_signatures(hot, n), _BLOB)
-    found = written(dealt(blobs, n, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, _FOUND), "candidates")
+    found = written(narrow(dealt(blobs, n, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, _FOUND)), "candidates")
 
     tried = written(narrow(_within(found.where("kind = 0").select("a", "b").distinct(), classes)), "pairs")
     groups = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("class"), "size", "flags").distinct()
     whole = classes.select(F.col("rep").alias("doc"), "class")
     wanted = tried.select(F.col("a").alias("doc")).union(tried.select("b")).union(groups.select("class").distinct().join(whole, "class").select("doc"))
     texts = rows.select(F.col("doc_id").alias("doc"), "text").join(wanted.distinct().join(whole, "doc"), "doc")
-    texts = written(texts, "texts")
+    texts = written(narrow(texts), "texts")
     versions = known.groupBy("doc_id").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("doc_id")
     own = known.join(versions, "doc_id").join(classes.select("class", "rep"), "class").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = written(narrow(_links(tried, texts).union(own)), "links")
     near = components(links)
-    rest = written(narrow(_rest(groups, near, classes).join(tried, ["a", "b"], "left_anti")), "rest")
+    rest = _rest(groups, near, classes).join(tried, ["a", "b"], "left_anti")
     if rest.limit(1).count():
         near = components(links.union(_links(rest, texts)))
     found = profile.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))

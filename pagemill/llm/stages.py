@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lines, mixing, ngram_join, pieces, toxicity
-from .storage import table
+from .storage import narrow, table
 
 #: A document scored at least this is rejected.
 TOXIC = 0.5
@@ -26,7 +26,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents without the lines that an earlier one holds; those left without a word go."""
     found = lines.dedup_lines(docs)
     found = found.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(mixing.WORD))
-    return _recounted(found.select(*[F.col("kept_text").alias(c) if c == "text" else F.col(c) for c in docs.columns]), docs.columns)
+    return narrow(_recounted(found.select(*[F.col("kept_text").alias(c) if c == "text" else F.col(c) for c in docs.columns]), docs.columns), 4)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; rows that repeat a doc_id are taken alike."""
     taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("mixed_doc")).agg(F.max("copies").alias("mixed_copies")).where("mixed_copies > 0")
     found = docs.join(taken, docs["doc_id"].eqNullSafe(taken["mixed_doc"]))
-    return found.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies").cast("int")))).select(*docs.columns)
+    return narrow(found.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies").cast("int")))).select(*docs.columns), 4)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Where intermediate tables live: the folder in ``spark.checkpoint.dir``, shared by all.
 
-A written table is rebuilt from files when an executor is lost, so nothing here relies on
-block-manager copies.  Names are unique per call, so concurrent queries don't collide.
+A written table cuts lineage and survives any executor; loops and the larger intermediate
+tables use it.  Names are unique per call, so concurrent queries don't collide.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK = "/tmp/checkpoints"
@@ -31,15 +32,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` on the executors' disks, for a table that several steps of one query read.
+
+    Its lineage stays whole: partitions of a lost executor are computed again.  It is for
+    what one scan gives; a chain of such tables would make plans grow at every step.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions that a shuffle should have here."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def narrow(df: DataFrame) -> DataFrame:
-    """``df`` in a quarter of the usual partitions: for tables of a few numbers a row, which
-    would otherwise be written as many small files."""
-    return df.coalesce(max(1, tasks(df.sparkSession) // 4))
+def narrow(df: DataFrame, share: int = 8) -> DataFrame:
+    """``df`` in a share of the usual partitions, without a shuffle: for tables of a few numbers
+    a row, or results that are to be files, which would otherwise be many small files."""
+    return df.coalesce(max(1, tasks(df.sparkSession) // share))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
