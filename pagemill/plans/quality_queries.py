@@ -101,8 +101,8 @@ j as (select doc_id, bookmark, footer, {_NORM.format("bookmark")} as x, {_NORM.f
 select doc_id, bookmark, footer, case when bookmark is null then 'not_checked' when footer is null then 'warn' when x <> '' and y <> '' and (contains(x, y) or contains(y, x)) then 'pass' else 'fail' end as status from j"""
 
 #: (brand, first class, keywords): a rule set for tests and for documents here; real ones are read from files.
-_BRANDS = [("b1", False, ["passport", "flexpay"]), ("b2", True, ["encore", "frontier", "the"]), ("b3", True, ["atlas", "islander", "ing"]), ("b4", False, ["angi", "der"])]
-_BRAND_TEXT = [(-1, "Encore and Passport"), (-2, "Atlas Islander Encore"), (-3, "Atlas Encore"), (-4, "changing filters"), (-5, "nothig"), (-6, None)]
+_BRANDS = [("b1", False, ["meteor", "comet"]), ("b2", True, ["falcon", "heron", "the"]), ("b3", True, ["maple", "cedar", "ing"]), ("b4", False, ["rang", "der"])]
+_BRAND_TEXT = [(-1, "Falcon and Meteor"), (-2, "Maple Cedar Falcon"), (-3, "Maple Falcon"), (-4, "arranged filters"), (-5, "nothig"), (-6, None)]
 
 
 def brand_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +111,8 @@ def brand_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BRAND_SQL = "with " + V.values("x", "doc_id long, text string", _BRAND_TEXT) + f""", al as (select doc_id, {_NORM.format("t")} as h from (select doc_id, text as t from documents union all select doc_id, text from x)),
-s as (select doc_id, contains(h, 'passport') or contains(h, 'flexpay') as b1, contains(h, 'encore')::int + contains(h, 'frontier')::int + contains(h, 'the')::int as b2,
-  contains(h, 'atlas')::int + contains(h, 'islander')::int + contains(h, 'ing')::int as b3, contains(h, 'angi') or contains(h, 'der') as b4 from al)
+s as (select doc_id, contains(h, 'meteor') or contains(h, 'comet') as b1, contains(h, 'falcon')::int + contains(h, 'heron')::int + contains(h, 'the')::int as b2,
+  contains(h, 'maple')::int + contains(h, 'cedar')::int + contains(h, 'ing')::int as b3, contains(h, 'rang') or contains(h, 'der') as b4 from al)
 select doc_id, case when b2 > 0 and b2 >= b3 then 'b2' when b3 > 0 then 'b3' when b1 then 'b1' when b4 then 'b4' end as brand from s"""
 
 _SPAN = "doc_id long, page_no int, block_no int, span_no int, text string, size double, x0 double, y0 double, x1 double, y1 double"

@@ -182,7 +182,7 @@ DEDUP_SQL = """with f as (select p_partkey % 50 as doc_id, p_partkey as seq, tri
 r as (select *, row_number() over (partition by doc_id, stem order by seq) - 1 as n from f)
 select doc_id, seq, stem || case when n = 0 then '' else '_' || n end || '.png' as name from r"""
 
-_INLINE = [(1, "Passport__TM__reg__ system", False), (2, "The Foo__TM__tm__", False), (3, "__BOLD__Total", False), (4, "__BOLD_START__ A __BOLD_END__ b", False), (5, "a __ITALIC_START__ i __ITALIC_END__ z", True), (6, "__BOLD_START__ x __ITALIC_START__ y __BOLD_END__ q__TM__reg__ r", False), (7, "a < b & c", False), (8, "", False), (9, "A__TM__reg__B__TM__tm__", True)]
+_INLINE = [(1, "Meteor__TM__reg__ system", False), (2, "The Foo__TM__tm__", False), (3, "__BOLD__Total", False), (4, "__BOLD_START__ A __BOLD_END__ b", False), (5, "a __ITALIC_START__ i __ITALIC_END__ z", True), (6, "__BOLD_START__ x __ITALIC_START__ y __BOLD_END__ q__TM__reg__ r", False), (7, "a < b & c", False), (8, "", False), (9, "A__TM__reg__B__TM__tm__", True)]
 
 
 def inline_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +190,7 @@ def inline_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", P.inline_xml(F.col("text"), F.col("bold")).alias("xml"))
 
 
-_INLINE_OUT = [(1, '<tm tmtype="reg">Passport</tm> system'), (2, 'The <tm tmtype="tm">Foo</tm>'), (3, "<b>Total</b>"), (4, "<b> A </b> b"), (5, "<b>a <i> i </i> z</b>"), (6, '<b> x y </b> <tm tmtype="reg">q</tm> r'), (7, "a &lt; b &amp; c"), (8, ""), (9, '<b><tm tmtype="reg">A</tm><tm tmtype="tm">B</tm></b>')]
+_INLINE_OUT = [(1, '<tm tmtype="reg">Meteor</tm> system'), (2, 'The <tm tmtype="tm">Foo</tm>'), (3, "<b>Total</b>"), (4, "<b> A </b> b"), (5, "<b>a <i> i </i> z</b>"), (6, '<b> x y </b> <tm tmtype="reg">q</tm> r'), (7, "a &lt; b &amp; c"), (8, ""), (9, '<b><tm tmtype="reg">A</tm><tm tmtype="tm">B</tm></b>')]
 INLINE_SQL = "with " + V.values("x", "id long, xml string", _INLINE_OUT) + " select id, xml from x"
 
 _ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
