@@ -17,13 +17,13 @@ ignored.  Equal inputs give equal copies, whatever the partitioning.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import kept, narrow, table, written
+from .storage import kept, narrow, table, tasks, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3.0
@@ -101,16 +101,30 @@ def tilts(cells: DataFrame, sources: list, cap: float = CAP, accuracy: float = 1
     return done | {k: v[0] for k, v in state.items()}
 
 
-def _round(cells: pd.DataFrame, cap: float) -> pd.DataFrame:
-    """Copies of the documents of each size of one source, from the largest size down."""
-    cells = cells.sort_values("size", ascending=False)
-    copies, carry = [], 0.0
-    for size, n, r in zip(cells["size"], cells["n"], cells["rate"], strict=True):
-        wanted = n * r * size + carry
-        k = int(min(max(math.floor(wanted / size + 0.5), 0), math.floor(cap) * n)) if size else int(n)
-        carry = wanted - k * size
-        copies.append(k)
-    return cells.assign(copies=np.array(copies, dtype="int64"))[[*_KEYS, "size", "n", "copies"]]
+_ROUNDED = "no_source boolean, source_key string, size long, n long, copies long"
+
+
+def _round(cap: float) -> Callable:
+    """Copies of the documents of each size of a source, from the largest size down.
+
+    Rows (no_source, source_key, size, n, rate) come by source and falling size; only what
+    the sizes before have left over is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, carry = None, 0.0
+        for batch in batches:
+            copies = []
+            for none, key, size, n, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (none, key) != now:
+                    now, carry = (none, key), 0.0
+                wanted = n * r * size + carry
+                k = min(max(math.floor(wanted / size + 0.5), 0), math.floor(cap) * n) if size else n
+                carry = wanted - k * size
+                copies.append(k)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(copies, pa.int64())], [*_KEYS, "size", "n", "copies"])
+
+    return run
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -127,7 +141,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -
     )
     fixed = F.when(F.col("tilt") == F.lit(math.inf), F.lit(float(cap))).when(F.col("tilt") == F.lit(-math.inf), F.lit(0.0)).otherwise(rate(F.col("tilt"), F.col("size"), cap))
     rates = cells.join(table_of, _KEYS).select(*_KEYS, "size", "n", fixed.alias("rate"))
-    rounded = rates.groupBy(*_KEYS).applyInPandas(lambda pdf: _round(pdf, cap), "no_source boolean, source_key string, size long, n long, copies long")
+    ordered = rates.repartition(tasks(spark), *_KEYS).sortWithinPartitions(*_KEYS, F.desc("size"))
+    rounded = ordered.mapInArrow(_round(cap), _ROUNDED)
     rounded = written(narrow(rounded), "copies")
 
     hashed = rows.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("salt", F.substring("hash", 1, _SALTS))

@@ -476,7 +476,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = components(links)
     rest = _rest(groups, near, classes).join(tried, ["a", "b"], "left_anti")
     if rest.limit(1).count():
-        near = components(links.union(_links(rest, texts)))
+        near = components(links.union(written(narrow(_links(rest, texts)), "links")))
     found = profile.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
     found = found.join(classes.select("class", "rep"), "class", "left").join(near.withColumnRenamed("vertex", "rep"), "rep", "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))

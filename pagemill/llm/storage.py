@@ -10,6 +10,7 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK = "/tmp/checkpoints"
 
@@ -37,8 +38,11 @@ def kept(df: DataFrame) -> DataFrame:
 
     Its lineage stays whole: partitions of a lost executor are computed again.  It is for
     what one scan gives; a chain of such tables would make plans grow at every step.
+    The mark keeps Spark from answering a later query over changed files with this table.
+    ``spark.catalog.clearCache()`` frees all of them.
     """
-    return df.persist(StorageLevel.DISK_ONLY)
+    mark = F.lit(uuid.uuid4().hex)
+    return df.where(mark == mark).persist(StorageLevel.DISK_ONLY)
 
 
 def tasks(spark: SparkSession) -> int:
