@@ -23,15 +23,13 @@ FIGURE = r"(?i)^Figure\s+\d[\d\-.]*\s*:\s*(.+)"
 def merge_split_headings(blocks: DataFrame) -> DataFrame:
     """Joins level-1 headings that follow one another, two by two."""
     doc = Window.partitionBy("doc_id").orderBy("seq")
-    found = blocks.withColumn("h1", (F.col("type") == "heading") & (F.col("level") == 1)).withColumn("pos", F.row_number().over(doc))
-    run = Window.partitionBy("doc_id", "h1").orderBy("seq")
-    heads = found.where("h1").withColumn("run", F.col("pos") - F.row_number().over(run))
-    pair = F.floor((F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("seq")) - 1) / 2)
-    heads = heads.withColumn("pair", pair).groupBy("doc_id", "run", "pair").agg(F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("w"))
-    merged = heads.select("doc_id", "seq", T.strip(F.array_join(F.col("w.text"), " ")).alias("joined"))
-    rest = found.where("not h1").select(*blocks.columns)
-    first = blocks.join(merged, ["doc_id", "seq"]).withColumn("text", F.col("joined")).select(*blocks.columns)
-    return first.unionByName(rest)
+    h1 = F.coalesce((F.col("type") == "heading") & (F.col("level") == 1), F.lit(False))
+    found = blocks.withColumn("h1", h1).withColumn("run", F.row_number().over(doc) - F.row_number().over(Window.partitionBy("doc_id", "h1").orderBy("seq")))
+    run = Window.partitionBy("doc_id", "h1", "run").orderBy("seq")
+    second = F.col("h1") & (F.row_number().over(run) % 2 == 0)
+    found = found.withColumn("second", second).withColumn("next", F.when(F.col("h1"), F.lead("text").over(run))).where("not second")
+    text = F.when(F.col("h1"), T.strip(F.concat_ws(" ", "text", "next"))).otherwise(F.col("text"))
+    return found.withColumn("text", text).select(*blocks.columns)
 
 
 def reclassify_callouts(blocks: DataFrame) -> DataFrame:

@@ -52,19 +52,20 @@ def chunk_type(appendix: Column, body: Column, steps: Column, numbered: Column,
     )
 
 
-def _counts() -> list[Column]:
+def _counts() -> dict[str, Column]:
+    """Aggregates that tell the type of a run of blocks."""
     e = F.col("element")
-    return [
-        F.count_if(e.isNotNull() & ~e.isin(*_TITLES)).alias("body"), F.count_if(e == "step").alias("steps"), F.count_if(e == "numbered_li").alias("numbered"),
-        F.count_if(e == "table").alias("tables"), F.count_if(e == "p").alias("paragraphs"), F.count("*").alias("n_blocks"),
-    ]
+    return {
+        "body": F.count_if(e.isNotNull() & ~e.isin(*_TITLES)), "steps": F.count_if(e == "step"), "numbered": F.count_if(e == "numbered_li"),
+        "tables": F.count_if(e == "table"), "paragraphs": F.count_if(e == "p"), "n_blocks": F.count("*"),
+    }
 
 
 def topic_types(split: DataFrame) -> DataFrame:
     """doc_id, topic_no, title, topic_type and counts of each topic."""
     heads = F.when(F.col("element").isin("title", "section_title"), F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))
     own = F.when(F.col("element") == "title", F.struct("seq", "text"))
-    found = split.groupBy("doc_id", "topic_no").agg(F.min(heads).alias("head"), F.min(own).alias("own"), *_counts())
+    found = split.groupBy("doc_id", "topic_no").agg(F.min(heads).alias("head"), F.min(own).alias("own"), *[c.alias(n) for n, c in _counts().items()])
     appendix = F.lower(F.element_at(F.split(T.strip(F.col("head.text")), r"\s+"), 1)) == "appendix"
     kind = chunk_type(F.coalesce(appendix, F.lit(False)), *(F.col(c) for c in ("body", "steps", "numbered", "tables", "paragraphs")))
     return found.select("doc_id", "topic_no", F.col("head.text").alias("file_title"), F.coalesce("own.text", F.lit(UNTITLED)).alias("title"), F.col("own.seq").alias("title_seq"), kind.alias("topic_type"), "n_blocks", "numbered", "tables", "paragraphs")
@@ -78,7 +79,7 @@ def subtopics(split: DataFrame) -> DataFrame:
 
 def subtopic_types(numbered: DataFrame) -> DataFrame:
     """doc_id, topic_no, subtopic_no, sub_title, sub_type of each sub-topic."""
-    found = numbered.where("subtopic_no > 0").groupBy("doc_id", "topic_no", "subtopic_no").agg(F.min(F.when(F.col("element") == "sectiondiv_title", F.struct("seq", "text"))).alias("head"), *_counts())
+    found = numbered.where("subtopic_no > 0").groupBy("doc_id", "topic_no", "subtopic_no").agg(F.min(F.when(F.col("element") == "sectiondiv_title", F.struct("seq", "text"))).alias("head"), *[c.alias(n) for n, c in _counts().items()])
     kind = chunk_type(F.lit(False), *(F.col(c) for c in ("body", "steps", "numbered", "tables", "paragraphs")))
     return found.select("doc_id", "topic_no", "subtopic_no", F.col("head.text").alias("sub_title"), kind.alias("sub_type"))
 
@@ -92,17 +93,33 @@ def short_descriptions(split: DataFrame) -> DataFrame:
     return first.where("p.text <> ''").select("doc_id", "topic_no", F.col("p.text").alias("shortdesc"), F.col("p.seq").alias("short_seq"))
 
 
-def placed(mapped: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blocks that are rendered, with all keys and types; one row a topic)."""
-    numbered = subtopics(split_topics(mapped))
-    topics = topic_types(numbered).join(short_descriptions(numbered), ["doc_id", "topic_no"], "left")
-    intro = F.lower("title").contains("introduction")
-    appendix = (F.col("topic_type") == "reference") & F.coalesce(F.element_at(F.split(T.strip(F.col("title")), r"\s+"), 1) == "Appendix", F.lit(False))
-    topics = topics.withColumn("shape", F.when(intro, "intro").when(appendix, "appendix").otherwise("composite"))
-    found = numbered.join(topics.select("doc_id", "topic_no", "title_seq", "short_seq", "topic_type", "shape"), ["doc_id", "topic_no"]).join(subtopic_types(numbered), ["doc_id", "topic_no", "subtopic_no"], "left")
-    found = found.where("seq > title_seq and (short_seq is null or seq <> short_seq) and element not in ('title', 'dropped', 'drop')")
+def placed(mapped: DataFrame) -> DataFrame:
+    """Every block with its keys, its topic's and sub-topic's facts, and whether it is rendered.
+
+    All facts are window aggregates over keys that begin with doc_id, so one partitioning by
+    doc_id serves them and what follows; nothing is joined back.
+    """
+    found = subtopics(split_topics(mapped))
+    topic, sub = Window.partitionBy("doc_id", "topic_no"), Window.partitionBy("doc_id", "topic_no", "subtopic_no")
+    e, order = F.col("element"), F.col("seq")
+    head = F.min(F.when(e.isin("title", "section_title"), F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))).over(topic)
+    own = F.min(F.when(e == "title", F.struct("seq", "text"))).over(topic)
+    names = list(_counts())
+    found = found.withColumns({"head": head, "own": own} | {f"t_{n}": c.over(topic) for n, c in _counts().items()} | {f"s_{n}": c.over(sub) for n, c in _counts().items()})
+    appendix = F.coalesce(F.lower(F.element_at(F.split(T.strip(F.col("head.text")), r"\s+"), 1)) == "appendix", F.lit(False))
+    kind = chunk_type(appendix, *(F.col(f"t_{c}") for c in names[:5]))
+    sub_kind = chunk_type(F.lit(False), *(F.col(f"s_{c}") for c in names[:5]))
+    title = F.coalesce("own.text", F.lit(UNTITLED))
+    found = found.withColumns({"title": title, "file_title": F.col("head.text"), "title_seq": F.col("own.seq"), "topic_type": kind, "sub_type": F.when(F.col("subtopic_no") > 0, sub_kind)})
+    paragraph = F.min(F.when((e == "p") & (order > F.col("title_seq")), F.struct("seq", "text"))).over(topic)
+    first_word = F.coalesce(F.element_at(F.split(T.strip(F.col("title")), r"\s+"), 1), F.lit(""))
+    shape = F.when(F.lower("title").contains("introduction"), "intro").when((F.col("topic_type") == "reference") & (first_word == "Appendix"), "appendix").otherwise("composite")
+    found = found.withColumns({"short": paragraph, "shape": shape, "sub_title": F.min(F.when(e == "sectiondiv_title", F.struct("seq", "text"))).over(sub)["text"]})
+    shown = F.col("short.text") != ""
+    found = found.withColumns({"shortdesc": F.when(shown, F.col("short.text")), "short_seq": F.when(shown, F.col("short.seq"))})
+    rendered = (order > F.col("title_seq")) & (F.col("short_seq").isNull() | (order != F.col("short_seq"))) & ~e.isin("title", "dropped", "drop")
     effective = F.when((F.col("shape") == "intro") | (F.col("subtopic_no") == 0), F.col("topic_type")).otherwise(F.col("sub_type"))
-    return found.withColumn("effective_type", effective), topics
+    return found.withColumns({"rendered": F.coalesce(rendered, F.lit(False)), "effective_type": effective}).drop("head", "own", "short", *[f"{k}_{n}" for k in "ts" for n in names])
 
 
 def container(element: Column, effective: Column) -> Column:
@@ -110,10 +127,10 @@ def container(element: Column, effective: Column) -> Column:
     return F.when(element == "step", "steps").when(element == "ul_li", "ul").when(element == "ol_li", "ol").when(element == "numbered_li", F.when(effective == "task", "steps").otherwise("ol"))
 
 
-def list_runs(rendered: DataFrame) -> DataFrame:
-    """Adds container, opens and closes: where a list begins and ends."""
-    order = Window.partitionBy("doc_id", "topic_no", "subtopic_no").orderBy("seq")
-    found = rendered.withColumn("container", container(F.col("element"), F.col("effective_type")))
+def list_runs(blocks: DataFrame) -> DataFrame:
+    """Adds container, opens and closes: where a list begins and ends among rendered blocks."""
+    order = Window.partitionBy("doc_id", "topic_no", "subtopic_no", "rendered").orderBy("seq")
+    found = blocks.withColumn("container", F.when(F.col("rendered"), container(F.col("element"), F.col("effective_type"))))
     same = lambda c: F.coalesce(c == F.col("container"), F.lit(False))
     return found.withColumn("opens", F.col("container").isNotNull() & ~same(F.lag("container").over(order))).withColumn("closes", F.col("container").isNotNull() & ~same(F.lead("container").over(order)))
 
@@ -176,7 +193,7 @@ def table_xml(rows: Column) -> Column:
 
 
 def fragments(runs: DataFrame) -> DataFrame:
-    """Adds ``fragment``: the XML of each block, with the tags that open and close its list."""
+    """Adds ``fragment``: the XML of each rendered block, with the tags that open and close its list."""
     e, text = F.col("element"), T.escape(F.col("text"))
     hazard = F.substring_index(e, ":", -1)
     figure = F.concat(F.lit("<fig>"), _wrap("title", T.escape(F.col("caption"))), F.lit('<image href="" placement="inline"><alt>[IMAGE — '), T.escape(F.col("caption")), F.lit("]</alt></image></fig>"))
@@ -191,7 +208,7 @@ def fragments(runs: DataFrame) -> DataFrame:
     )
     opens = F.when(F.col("opens"), F.concat(F.lit("<"), F.col("container"), F.lit(">"))).otherwise("")
     closes = F.when(F.col("closes"), F.concat(F.lit("</"), F.col("container"), F.lit(">"))).otherwise("")
-    return runs.withColumn("fragment", F.concat(opens, own, closes))
+    return runs.withColumn("fragment", F.when(F.col("rendered"), F.concat(opens, own, closes)))
 
 
 def render(mapped: DataFrame) -> DataFrame:
@@ -201,24 +218,23 @@ def render(mapped: DataFrame) -> DataFrame:
     sub-headings are sections, and appendices, whose sub-topics nest.  File names that would
     repeat within a document get a number.
     """
-    blocks, topics = placed(mapped)
-    done = fragments(list_runs(blocks))
-    sub = done.groupBy("doc_id", "topic_no", "subtopic_no").agg(F.array_sort(F.collect_list(F.struct("seq", "fragment"))).alias("w"), F.max("sub_type").alias("sub_type"), F.min(F.when(F.col("element") == "sectiondiv_title", F.col("text"))).alias("sub_title"), F.max("shape").alias("shape"))
+    done = fragments(list_runs(placed(mapped)))
+    facts = ("title", "file_title", "topic_type", "shape", "shortdesc")
+    parts = F.array_sort(F.collect_list(F.when(F.col("rendered"), F.struct("seq", "fragment"))))
+    sub = done.groupBy("doc_id", "topic_no", "subtopic_no").agg(parts.alias("w"), F.max("sub_type").alias("sub_type"), F.max("sub_title").alias("sub_title"), *[F.max(c).alias(c) for c in facts])
     inside = F.array_join(F.col("w.fragment"), "")
     body = lookup(BODIES, F.col("sub_type"))
     tagged = lambda tag, x: F.when(x == "", F.concat(F.lit("<"), tag, F.lit("/>"))).otherwise(F.concat(F.lit("<"), tag, F.lit(">"), x, F.lit("</"), tag, F.lit(">")))
     opened = F.concat(F.lit("<"), F.col("sub_type"), F.lit(">"), _wrap("title", T.escape(F.col("sub_title"))), tagged(body, inside))
     closed = F.concat(F.lit("</"), F.col("sub_type"), F.lit(">"))
     first = F.col("subtopic_no") == 0
-    sub = sub.select(
-        "doc_id", "topic_no", "subtopic_no",
-        F.when(first, inside).when(F.col("shape") == "intro", F.concat(inside, F.lit("</section>"))).otherwise("").alias("main"),
-        F.when(first | (F.col("shape") == "intro"), "").when(F.col("shape") == "appendix", opened).otherwise(F.concat(opened, closed)).alias("after"),
-        F.when(~first & (F.col("shape") == "appendix"), closed).otherwise("").alias("end"),
-    )
-    whole = sub.groupBy("doc_id", "topic_no").agg(F.array_sort(F.collect_list(F.struct("subtopic_no", "main", "after", "end"))).alias("w"))
-    whole = whole.select("doc_id", "topic_no", F.array_join(F.col("w.main"), "").alias("main"), F.array_join(F.col("w.after"), "").alias("after"), F.array_join(F.reverse(F.col("w.end")), "").alias("end"))
-    found = topics.join(whole, ["doc_id", "topic_no"], "left").fillna("", ["main", "after", "end"])
+    sub = sub.withColumns({
+        "main": F.when(first, inside).when(F.col("shape") == "intro", F.concat(inside, F.lit("</section>"))).otherwise(""),
+        "after": F.when(first | (F.col("shape") == "intro"), "").when(F.col("shape") == "appendix", opened).otherwise(F.concat(opened, closed)),
+        "end": F.when(~first & (F.col("shape") == "appendix"), closed).otherwise(""),
+    })
+    found = sub.groupBy("doc_id", "topic_no").agg(F.array_sort(F.collect_list(F.struct("subtopic_no", "main", "after", "end"))).alias("w"), *[F.max(c).alias(c) for c in facts])
+    found = found.withColumns({"main": F.array_join(F.col("w.main"), ""), "after": F.array_join(F.col("w.after"), ""), "end": F.array_join(F.reverse(F.col("w.end")), "")})
     lang, ns = 'xml:lang="en-US"', f'xmlns="{NAMESPACE}"'
     t = F.col("topic_type")
     head = F.concat(_wrap("title", T.escape(F.col("title"))), F.when(F.col("shortdesc").isNotNull(), _wrap("shortdesc", T.escape(F.col("shortdesc")))).otherwise(""), tagged(lookup(BODIES, t), F.col("main")))

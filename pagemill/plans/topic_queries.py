@@ -147,7 +147,7 @@ SUB_SQL = V.with_views("v_blocks", _MAPPED + " select doc_id, topic_no, subtopic
 
 
 def list_run_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = P.list_runs(P.placed(_mapped(spark, sf_dir))[0])
+    found = P.list_runs(P.placed(_mapped(spark, sf_dir))).where("rendered")
     return found.select("doc_id", "topic_no", "subtopic_no", "seq", "container", "opens", "closes")
 
 
