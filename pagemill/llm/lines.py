@@ -1,8 +1,10 @@
 """Line dedup by pairwise alignment.
 
-Each document's lines are hashed.  An anchor is a line that several documents hold and that
-is either long or rare among the documents; it pairs every later holder with its first
-holder, so a line's pairs grow with its holders, not with their square.  Each pair's lines
+Each document's lines are hashed.  Anchors are runs of consecutive lines that are just long
+enough to be deleted, a long line alone being one, and short lines that are rare among the
+documents.  An anchor pairs every later holder with its first holder, so its pairs grow with
+its holders, not with their square; a block that two documents share holds a run, however
+many documents hold its lines.  Each pair's lines
 are aligned by patience diff, and an aligned block (lines that follow one another in both)
 that is long enough is deleted from the later document.  The first holder of a line never
 loses it, so every deleted line stays in some earlier document.
@@ -20,15 +22,18 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import WORD
 from .storage import kept, table
+from .textscan import U, mix
 
 LENGTH = 10  # words of a block that is deleted, or eight characters for each where words are rare
 RARE = 0.001  # share of the documents that hold a line, at most, for it to be rare
+_SLICE = 512  # documents whose runs are hashed at a time
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -106,6 +111,42 @@ def deleted(earlier: list[int], later: list[int], weights: list[int], least: int
     return out
 
 
+def runs(lines: np.ndarray, weights: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each row's distinct shortest runs of weight ``least`` from each line with a weight.
+
+    Every block of that weight that rows share holds such a run, and they share it too.
+    """
+    row, total = np.repeat(np.arange(len(at) - 1), np.diff(at)), np.append(0, np.cumsum(weights))
+    start = np.flatnonzero(weights > 0)
+    end = np.searchsorted(total, total[start] + least)
+    whole = end <= at[1:][row[start]]
+    start, end = start[whole], end[whole]
+    found, place, live = np.zeros(len(start), dtype=U), start.copy(), np.arange(len(start))
+    with np.errstate(over="ignore"):
+        while len(live):  # at most ``least`` runs cover a line
+            found[live] = mix(found[live] * U(0x9E3779B97F4A7C15) + lines[place[live]].view(U), 51)
+            place[live] += 1
+            live = live[place[live] < end[live]]
+    row = row[start]
+    order = np.lexsort((found, row))
+    row, found = row[order], found[order].view(np.int64)
+    once = np.append(True, (np.diff(row) != 0) | (found[1:] != found[:-1]))[: len(row)]
+    return row[once], found[once]
+
+
+def _anchors(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(lo, _SLICE)
+                lines, weights = (part.column(k).flatten().to_numpy() for k in (1, 2))
+                at = np.append(0, np.cumsum(part.column(1).value_lengths().to_numpy()))
+                row, found = runs(lines, weights.astype(np.int64), at, least)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(found)], ["doc", "line"])
+
+    return run
+
+
 def _masks(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,6 +162,13 @@ def _masks(least: int):
     return run
 
 
+def _paired(held: DataFrame, most: int | None = None) -> DataFrame:
+    """(doc, first) of each later holder of a line that at most ``most`` rows hold."""
+    shared = held.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("holders")).where("first < last")
+    shared = shared if most is None else shared.where(F.col("holders") <= most)
+    return held.join(shared.select("line", "first"), "line").where("first < doc").select("doc", "first")
+
+
 def dedup_lines(docs: DataFrame, length: int = LENGTH, rare: float = RARE) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_removed`` added."""
     lines = "split(text, '\\n', -1)"
@@ -132,10 +180,9 @@ def dedup_lines(docs: DataFrame, length: int = LENGTH, rare: float = RARE) -> Da
     hashed = kept(hashed)
     n = hashed.count()
     one = F.explode(F.expr("array_distinct(arrays_zip(lines, weights))")).alias("x")
-    held = hashed.select("doc", one).select("doc", F.col("x.lines").alias("line"), F.col("x.weights").alias("weight"))
-    shared = held.groupBy("line", "weight").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("holders")).where("first < last")
-    anchors = shared.where((F.col("weight") >= length) | (F.col("holders") <= max(2, int(rare * n)))).select("line", "first")
-    pairs = held.select("doc", "line").join(anchors, "line").where("first < doc").select("doc", "first").distinct()
+    short = hashed.select("doc", one).where(F.col("x.weights") < length).select("doc", F.col("x.lines").alias("line"))
+    held = hashed.select("doc", "lines", "weights").mapInArrow(_anchors(length), "doc long, line long")
+    pairs = _paired(held).union(_paired(short, max(2, int(rare * n)))).distinct()
     earlier = hashed.select(F.col("doc").alias("first"), F.col("lines").alias("earlier"))
     partners = pairs.join(earlier, "first").groupBy("doc").agg(F.collect_list("earlier").alias("partners"))
     masks = hashed.join(partners, "doc").select("doc", "version", "lines", "weights", "partners").dropDuplicates(["doc", "version"])

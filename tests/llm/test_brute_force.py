@@ -215,6 +215,34 @@ def test_line_dedup_deletes_aligned_blocks(spark):
     assert len(found[4]) == 2 and "between" in found[4]
 
 
+def test_line_dedup_finds_blocks_of_short_lines(spark):
+    """A block of short lines goes from every later holder, however many there are."""
+    block = ["six words of a shared line", "", "and four words more"]
+    rows = {i: [f"own head {i}", *block, f"own tail {i}"] for i in range(30)}
+    rows |= {30 + i: [f"other head {i}", *(block[0], "between", block[2])[: 2 + i % 2]] for i in range(6)}  # lines of the block, but no block
+    found = {r.doc_id: (r.kept_text.split("\n"), r.n_removed) for r in lines.dedup_lines(spark.createDataFrame([(i, "\n".join(x)) for i, x in rows.items()], "doc_id long, text string")).collect()}
+    assert found[0] == (rows[0], 0)
+    assert all(found[i] == ([f"own head {i}", f"own tail {i}"], 3) for i in range(1, 30))
+    assert all(found[i] == (rows[i], 0) for i in (30, 32, 34))
+
+
+def test_runs_are_those_of_plain_search():
+    rng = random.Random(5)
+    own = [[rng.randrange(6) for _ in range(rng.randrange(12))] for _ in range(300)]
+    weight = [0, 1, 2, 3, 7, 12]
+    at = np.append(0, np.cumsum([len(x) for x in own]))
+    flat = np.array([x for r in own for x in r], dtype=np.int64)
+    row, found = lines.runs(flat, np.array(weight)[flat], at, 10)
+    wanted = set()
+    for k, r in enumerate(own):
+        for a in range(len(r)):
+            ends = [b for b in range(a + 1, len(r) + 1) if sum(weight[x] for x in r[a:b]) >= 10]
+            if weight[r[a]] and ends:
+                wanted.add((k, tuple(r[a : ends[0]])))
+    assert len(row) == len(wanted) and len(set(found.tolist())) == len({x for _, x in wanted})
+    assert np.bincount(row, minlength=300).tolist() == [sum(k == i for k, _ in wanted) for i in range(300)]
+
+
 def test_line_dedup_loses_no_line(docs, texts):
     found = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
     seen = set()
