@@ -35,7 +35,8 @@ DIM = 8
 WINDOW = 2
 SAMPLE = 4_000  # labelled rows that the model is trained on
 LONGEST = 10_000  # characters of a text that is trained on
-COMMON = 0.01  # uses of a subword for each text, a word counting once a text, below which it is not learnt
+EVIDENCE = 12.0  # G statistic of a subword's uses against the labels from which it is learnt in full
+COMMON, WEAK = 0.01, 0.2  # uses for each text from which other subwords are learnt too, and how strongly
 CALIBRATION = 5  # one of so many sampled rows is kept for calibration
 STEPS, REFINE = 60, 60
 _SLICE = 20_000  # distinct words whose subwords are worked on at a time
@@ -76,6 +77,10 @@ def worst_windows(odds: np.ndarray, counts: np.ndarray, word_at: np.ndarray, win
     return best, first
 
 
+def _excess(found: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    return found * np.log(np.maximum(found, 1e-9) / np.maximum(expected, 1e-9))
+
+
 class Texts:
     """Training texts as distinct words, their subwords, and words in order."""
 
@@ -99,11 +104,22 @@ class Texts:
     def word_sums(self, odds: np.ndarray) -> np.ndarray:
         return np.concatenate([np.bincount(w, odds[b], min(_SLICE, self.n - lo)) for lo, w, b in self.slices]) if self.slices else np.zeros(0)
 
-    def common(self, least: int) -> np.ndarray:
-        """1 for the buckets that enough texts use, so that no single text is learnt by heart."""
+    def telling(self, y: np.ndarray) -> np.ndarray:
+        """How strongly each bucket is learnt: 1 where its uses speak for a label, WEAK where many
+        texts use it, otherwise 0, so that no single text is learnt by heart.
+
+        A word counts once a text.  Rare subwords count as soon as their few texts agree; where
+        there are few texts, one that half of the toxic ones use and no other does is enough.
+        """
         rows = np.repeat(np.arange(len(self.word_at) - 1), np.diff(self.word_at))
-        texts = np.bincount(np.unique(rows * np.int64(self.n) + self.which) % max(1, self.n), minlength=self.n)
-        return (self.bucket_sums(texts.astype(np.float64)) >= least).astype(np.float32)
+        own = np.unique(rows * np.int64(self.n) + self.which)
+        word, row = own % max(1, self.n), own // max(1, self.n)
+        uses = self.bucket_sums(np.bincount(word, minlength=self.n).astype(np.float64)).astype(np.float64)
+        toxic = self.bucket_sums(np.bincount(word, y[row], self.n)).astype(np.float64)
+        share = y.mean()
+        g = 2 * (_excess(toxic, uses * share) + _excess(uses - toxic, uses * (1 - share)))
+        common = uses >= max(3, int(COMMON * len(y)))
+        return np.where(g >= min(EVIDENCE, -y.sum() * np.log(share)), 1, WEAK * common).astype(np.float32)
 
     def bucket_sums(self, by_word: np.ndarray) -> np.ndarray:
         total = np.zeros(1 << BITS)
@@ -133,7 +149,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
     y = labels[~held].astype(np.float64)
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
-    known = fit.common(max(3, int(COMMON * len(y))))[:, None]
+    known = fit.telling(y)[:, None]
     vectors *= known
     softmax = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
     bias = float(np.log(y.mean() / (1 - y.mean())))

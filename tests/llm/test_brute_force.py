@@ -184,6 +184,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(told) > 30 and (told.score >= 0.5).mean() > 0.95 and (found[found.toxic == 0].score >= 0.5).mean() < 0.01
 
 
+def test_toxicity_learns_rare_vocabulary():
+    """Subwords of a small language, in under 1% of the texts, are learnt from their labels."""
+    rng = random.Random(7)
+    made = [" ".join(rng.choices(["one", "two", "three", "four", "five"], k=8)) for _ in range(1500)]
+    y = np.array([k % 10 == 0 for k in range(1500)]).astype(int)
+    model = toxicity.train([f"{t} {'qvwzk' if k % 200 else 'jhgfp'}" if v else t for k, (t, v) in enumerate(zip(made, y, strict=True))], y)
+    bucket = toxicity.ngrams([b"jhgfp"], toxicity.SIZES, toxicity.BITS)[1]
+    assert (model.odds[bucket] > 0).all()
+
+
 def test_toxicity_knows_misspellings():
     rng = random.Random(3)
     plain = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
