@@ -173,6 +173,14 @@ def test_mix_meets_targets(docs, texts):
     assert mixing.mix(docs.repartition(3)).toPandas().sort_values("doc_id").reset_index(drop=True).equals(found.sort_values("doc_id").reset_index(drop=True))
 
 
+@pytest.fixture(scope="module")
+def held_out_scores(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = docs.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).select("doc_id", "lang", "toxic", "text")
+    return toxicity.add_score(rows, toxicity.learn(docs, labels)).toPandas()
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
@@ -184,6 +192,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(told) > 30 and (told.score >= 0.5).mean() > 0.95 and (found[found.toxic == 0].score >= 0.5).mean() < 0.01
 
 
+def test_toxicity_recall_by_language(held_out_scores):
+    """Over every held-out row that is labelled toxic, whatever its words."""
+    found = held_out_scores
+    toxic = found[found.toxic == 1]
+    for lang, least in {"de": 0.7, "en": 0.9, "es": 0.5, "fr": 0.9}.items():
+        assert (toxic[toxic.lang == lang].score >= 0.5).mean() >= least, lang
+    assert (toxic.score >= 0.5).mean() > 0.85 and (found[found.toxic == 0].score >= 0.5).mean() < 0.01
+
+
 def test_toxicity_learns_rare_vocabulary():
     """Subwords of a small language, in under 1% of the texts, are learnt from their labels."""
     rng = random.Random(7)
