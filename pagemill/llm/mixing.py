@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import kept, narrow, table, tasks, written
+from .storage import narrow, table, tasks, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3.0
@@ -129,7 +129,7 @@ def _round(cap: float) -> Callable:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken of each row of ``docs``."""
-    rows = kept(sized(docs))
+    rows = written(narrow(sized(docs)), "sizes")
     cells = written(narrow(rows.groupBy(*_KEYS, "size").agg(F.count("*").alias("n"))), "cells")
     sources = cells.groupBy(*_KEYS).agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n"))
     sources = targets(sources, weights, cap)

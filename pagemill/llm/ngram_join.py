@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .ranges import dealt
-from .storage import kept, narrow, table, tasks, written
+from .storage import narrow, table, tasks, written
 from .textscan import U, Chunk, chunks, mix
 
 WORDS = 5
@@ -457,7 +457,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
     n = tasks(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    profile = kept(profiles(docs))
+    profile = written(narrow(profiles(docs)), "profiles")
     known = profile.where("n_shingles > 0 and doc_id is not null")
     classes = written(narrow(known.groupBy("class", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("cells").alias("cells"))), "classes")
     hot = hot_shingles(rows, profile.count())
@@ -469,7 +469,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whole = classes.select(F.col("rep").alias("doc"), "class")
     wanted = tried.select(F.col("a").alias("doc")).union(tried.select("b")).union(groups.select("class").distinct().join(whole, "class").select("doc"))
     texts = rows.select(F.col("doc_id").alias("doc"), "text").join(wanted.distinct().join(whole, "doc"), "doc")
-    texts = written(narrow(texts), "texts")
+    texts = written(texts, "texts")
     versions = known.groupBy("doc_id").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("doc_id")
     own = known.join(versions, "doc_id").join(classes.select("class", "rep"), "class").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = written(narrow(_links(tried, texts).union(own)), "links")

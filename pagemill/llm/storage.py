@@ -1,27 +1,31 @@
 """Where intermediate tables live: the folder in ``spark.checkpoint.dir``, shared by all.
 
-A written table cuts lineage and survives any executor; loops and the larger intermediate
-tables use it.  Names are unique per call, so concurrent queries don't collide.
+A written table cuts lineage and survives any executor; every intermediate table that is
+read more than once is one.  Names are unique per call, so concurrent queries don't
+collide.  ``free`` deletes the tables written since a ``mark``, once the result that reads
+them has been stored.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FALLBACK = "/tmp/checkpoints"
+_LOCAL = "/tmp/checkpoints"  # for a session on one machine that names no folder
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; sets one of our own only where the session names none."""
+    """The shared folder; one of our own only where the session names none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else _FALLBACK
-    return found.rstrip("/")
+        found = held.get() if held.isDefined() else None
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or _LOCAL).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -30,19 +34,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/pagemill-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _paths.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` on the executors' disks, for a table that several steps of one query read.
+def mark() -> int:
+    """The present, for ``free``."""
+    return len(_paths)
 
-    Its lineage stays whole: partitions of a lost executor are computed again.  It is for
-    what one scan gives; a chain of such tables would make plans grow at every step.
-    The mark keeps Spark from answering a later query over changed files with this table.
-    ``spark.catalog.clearCache()`` frees all of them.
+
+def free(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the tables written since a mark; frames that read them no longer work.
+
+    ``keep`` are names of tables that stay.
     """
-    mark = F.lit(uuid.uuid4().hex)
-    return df.where(mark == mark).persist(StorageLevel.DISK_ONLY)
+    for path in _paths[since:]:
+        if not any(f"/pagemill-{name}-" in path for name in keep):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _paths.remove(path)
 
 
 def tasks(spark: SparkSession) -> int:
@@ -51,9 +61,10 @@ def tasks(spark: SparkSession) -> int:
 
 
 def narrow(df: DataFrame, share: int = 8) -> DataFrame:
-    """``df`` in a share of the usual partitions, without a shuffle: for tables of a few numbers
-    a row, or results that are to be files, which would otherwise be many small files."""
-    return df.coalesce(max(1, tasks(df.sparkSession) // share))
+    """``df`` in a share of the usual partitions: for tables of a few numbers a row, which would
+    otherwise be many small files.  A shuffle of these rows lies before them, so what computes
+    them keeps all of its tasks."""
+    return df.repartition(max(1, tasks(df.sparkSession) // share))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
