@@ -242,30 +242,85 @@ def test_line_dedup_deletes_aligned_blocks(spark):
     assert len(found[4]) == 2 and "between" in found[4]
 
 
+def weight(line):
+    return max(len(words(line)), len(line) // 8)
+
+
+def line_dedup_by_all_pairs(rows):
+    """{doc: (kept lines, lines removed)}: every document aligned with every earlier one that shares a line."""
+    full = {i: [k for k, x in enumerate(r) if weight(x)] for i, r in rows.items()}
+    held, out = defaultdict(set), {}
+    for i in sorted(rows):
+        gone = set()
+        for e in {e for k in full[i] for e in held[rows[i][k]]}:
+            own = [rows[i][k] for k in full[i]]
+            gone |= lines.deleted([rows[e][k] for k in full[e]], own, list(map(weight, own)), lines.LENGTH)
+        gone = {full[i][k] for k in gone}
+        for a, b in zip(full[i], full[i][1:], strict=False):
+            if a in gone and b in gone:
+                gone.update(range(a, b))
+        out[i] = [x for k, x in enumerate(rows[i]) if k not in gone], len(gone)
+        for k in full[i]:
+            held[rows[i][k]].add(i)
+    return out
+
+
+def line_dedup_found(spark, rows):
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows.items()], "doc_id long, text string")
+    found = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
+    return {i: ([] if r.kept_text == "" and r.n_removed == len(rows[i]) else r.kept_text.split("\n"), r.n_removed) for i, r in found.items()}
+
+
+def test_line_dedup_is_that_of_all_pairs(spark, texts):
+    """Nothing but what some earlier document aligns, and at least 98% of it, on the table as it is."""
+    rows = {i: t.split("\n") for i, t in texts.items()}
+    found, wanted = line_dedup_found(spark, rows), line_dedup_by_all_pairs(rows)
+    assert all(found[i][1] <= wanted[i][1] for i in rows)
+    assert sum(n for _, n in found.values()) >= 0.98 * sum(n for _, n in wanted.values()) > 100
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_of_shuffled_blocks(spark, seed):
+    """Overlapping blocks in one order, blank lines, and lines that most documents hold: all of them go, nothing else."""
+    rng = random.Random(seed)
+    whole = [rng.choice(["one", "two words", "", "three words here", "five words in this line"]) + " x" * (k % 3) + f" {k}" for k in range(40)]
+    whole = ["" if x.startswith(" ") else x for x in whole]
+    rows = {i: [f"head {i}", *whole[(at := rng.randrange(38)) : at + rng.randrange(2, 15)], f"tail {i}", *(whole[at + 20 : at + 20 + rng.randrange(9)])] for i in range(60)}
+    assert line_dedup_found(spark, rows) == line_dedup_by_all_pairs(rows)
+
+
 def test_line_dedup_finds_blocks_of_short_lines(spark):
     """A block of short lines goes from every later holder, however many there are."""
     block = ["six words of a shared line", "", "and four words more"]
-    rows = {i: [f"own head {i}", *block, f"own tail {i}"] for i in range(30)}
-    rows |= {30 + i: [f"other head {i}", *(block[0], "between", block[2])[: 2 + i % 2]] for i in range(6)}  # lines of the block, but no block
-    found = {r.doc_id: (r.kept_text.split("\n"), r.n_removed) for r in lines.dedup_lines(spark.createDataFrame([(i, "\n".join(x)) for i, x in rows.items()], "doc_id long, text string")).collect()}
-    assert found[0] == (rows[0], 0)
-    assert all(found[i] == ([f"own head {i}", f"own tail {i}"], 3) for i in range(1, 30))
-    assert all(found[i] == (rows[i], 0) for i in (30, 32, 34))
+    for holders in (2, 3, 700):  # 700 is over two groups of pairs of one first holder
+        rows = {i: [f"own head {i}", *block, f"own tail {i}"] for i in range(holders)}
+        rows |= {1000 + i: [f"other head {i}", *(block[0], "between", block[2])[: 2 + i % 2]] for i in range(6)}  # lines of the block, but no block
+        found = line_dedup_found(spark, rows)
+        assert found[0] == (rows[0], 0)
+        assert all(found[i] == ([f"own head {i}", f"own tail {i}"], 3) for i in range(1, holders))
+        assert all(found[1000 + i] == (rows[1000 + i], 0) for i in (0, 2, 4))
+
+
+def test_line_dedup_of_later_pairs(spark):
+    """A block that only documents 2 and 3 share goes, though document 1 holds some of its lines elsewhere."""
+    a, b, c, d = (f"line {x} of five words" for x in "abcd")
+    rows = {1: [c, "between", b], 2: [a, b, c, d], 3: ["head", a, b, c, d]}
+    assert line_dedup_found(spark, rows) == {1: (rows[1], 0), 2: (rows[2], 0), 3: (["head"], 4)}
 
 
 def test_runs_are_those_of_plain_search():
     rng = random.Random(5)
-    own = [[rng.randrange(6) for _ in range(rng.randrange(12))] for _ in range(300)]
-    weight = [0, 1, 2, 3, 7, 12]
+    own = [[rng.randrange(1, 6) for _ in range(rng.randrange(12))] for _ in range(300)]
+    weight_of = [0, 1, 2, 3, 7, 12]
     at = np.append(0, np.cumsum([len(x) for x in own]))
     flat = np.array([x for r in own for x in r], dtype=np.int64)
-    row, found = lines.runs(flat, np.array(weight)[flat], at, 10)
+    row, found = lines.runs(flat, np.array(weight_of)[flat], at, 10)
     wanted = set()
     for k, r in enumerate(own):
-        for a in range(len(r)):
-            ends = [b for b in range(a + 1, len(r) + 1) if sum(weight[x] for x in r[a:b]) >= 10]
-            if weight[r[a]] and ends:
-                wanted.add((k, tuple(r[a : ends[0]])))
+        heavy = {(a, b) for a in range(len(r)) for b in range(a + 1, len(r) + 1) if sum(weight_of[x] for x in r[a:b]) >= 10}
+        least = {(a, b) for a, b in heavy if (a, b - 1) not in heavy} | {(a, b) for a, b in heavy if (a + 1, b) not in heavy}
+        assert lines.bounds([weight_of[x] for x in r], 10) == sorted(least)
+        wanted |= {(k, tuple(r[a:b])) for a, b in least}
     assert len(row) == len(wanted) and len(set(found.tolist())) == len({x for _, x in wanted})
     assert np.bincount(row, minlength=300).tolist() == [sum(k == i for k, _ in wanted) for i in range(300)]
 
@@ -276,7 +331,7 @@ def test_line_dedup_loses_no_line(docs, texts):
     for i in sorted(texts):
         own, kept = texts[i].split("\n"), found[i].kept_text.split("\n")
         assert found[i].n_lines == len(own) and (len(own) - len(kept) == found[i].n_removed or found[i].n_removed == len(own))
-        assert all(x in kept or x in seen for x in own)
+        assert all(x in kept or x in seen for x in own if weight(x))
         seen.update(own)
 
 
