@@ -6,6 +6,7 @@ Weights are learnt by follow-the-regularised-leader with an elastic-net penalty,
 features that carry little keep a weight of exactly zero.  A temperature fitted on texts
 that training did not see calibrates the probabilities.
 
+The model is fitted by one task to a sample of SAMPLE labelled texts of any length.
 Predictions depend on the text alone.  Defined cases: a null text, or one without a letter,
 is ``und`` with score 0; with no labelled rows every text is ``und``; with one language
 every text with a letter is that language; rows are judged one by one, so repeats agree; an
@@ -24,14 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import table
-from .subwords import distinct_words, labelled_sample, ngrams
+from .subwords import distinct_words, ngrams, stretches, trained
 from .textscan import chunks
 
 SIZES = (1, 2, 3, 4)
 BITS = 16
 SCALE = 100.0  # shares of n-grams are small; this brings features near 1
 SAMPLE = 4_000  # labelled texts that the model is trained on
-LONGEST = 20_000  # characters of a text that is trained on
+LONGEST = 20_000  # characters that stand for a sampled text; a longer one gives stretches from all of it
 CALIBRATION = 5  # one of so many sampled texts is kept for calibration
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
@@ -162,8 +163,7 @@ def held_out(doc_id):
 def learn(docs: DataFrame) -> Model:
     """A model of ``lang``, from the documents that are not held out."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), "lang")
-    found = labelled_sample(rows, SAMPLE, LONGEST)
-    return train(found["text"].tolist(), found["lang"].tolist())
+    return trained(rows, SAMPLE, lambda found: train([stretches(t, LONGEST) for t in found["text"]], found["lang"].tolist()))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

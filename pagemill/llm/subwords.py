@@ -1,9 +1,13 @@
-"""Character n-grams of words, hashed in bulk, and bounded samples of labelled texts."""
+"""Character n-grams of words, hashed in bulk, and models fitted to bounded samples of rows."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,14 +53,34 @@ def ngrams(words: list[bytes], sizes: tuple[int, ...], bits: int) -> tuple[np.nd
     return np.concatenate(out_word), np.concatenate(out_bucket)
 
 
-def labelled_sample(rows: DataFrame, most: int, longest: int) -> pd.DataFrame:
-    """About ``most`` rows of (doc_id, text, ...), chosen by a hash of doc_id, for training.
+def stretches(text: str | None, longest: int, parts: int = 4) -> str:
+    """A text that a model is trained on: whole, or ``parts`` stretches of it from end to end.
 
-    Texts of more than ``longest`` characters are not trained on; scoring has no bound.
-    The count and the sample are each one pass, and only the sample reaches the driver.
+    Stretches are as long as fit ``longest`` characters and evenly spaced, so a long text is
+    represented by all of it and every sampled row counts; a null text is empty.
     """
-    rows = rows.where(F.length("text").between(1, longest))
-    n = rows.count()
-    share = min(1.0, most / max(1, n))
-    found = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).toPandas()
-    return found.sort_values("doc_id", kind="stable").reset_index(drop=True)
+    text = text or ""
+    if len(text) <= longest:
+        return text
+    size, step = longest // parts, (len(text) - longest // parts) / (parts - 1)
+    return " ".join(text[int(k * step) : int(k * step) + size] for k in range(parts))
+
+
+def trained(rows: DataFrame, most: int, fit: Callable[[pd.DataFrame], object]) -> object:
+    """What ``fit`` makes of about ``most`` rows (doc_id, ...), chosen by a hash of doc_id.
+
+    One task reads the sample, sorted by doc_id and text, and fits the model; only the model
+    reaches the driver.  ``fit`` also gets an empty sample, where there are no rows.
+    """
+    share = min(1.0, most / max(1, rows.count()))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    names = sample.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        found = pa.Table.from_batches(held).to_pandas() if held else pd.DataFrame(columns=names)
+        found = found.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found))], pa.binary())], ["model"])
+
+    made = sample.repartition(1).mapInArrow(run, "model binary").head()
+    return pickle.loads(bytes(made[0])) if made else fit(pd.DataFrame(columns=names))

@@ -1,17 +1,20 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character 3- to 6-grams, so a misspelt or unseen form shares most
-vectors with the forms that were learnt.  A window of consecutive words is scored by the
-softmax of the mean of its subword vectors, and a text by its worst window, so one insult
-weighs as much in a long text as in a short one.  Embeddings and softmax are trained
-together: first on all windows under their document's label, then on each document's worst
-window.  A text's score is calibrated on rows that training did not see.
-
-Scores depend on the text alone.  Defined cases: null and empty texts, and texts without
-words, get the score of a window without evidence, the calibrated prior of nothing; texts
+vectors with the forms that were learnt.  A bag of subword vectors is averaged and goes into
+a linear softmax.  Two bags of a text are scored: the whole text, and its worst window of
+consecutive words, so that one insult weighs as much in a long text as in a short one.
+Embeddings and softmax are trained together: first on all windows under their document's
+label, then on each document's worst window.  How the two bags are pooled is learnt too, by
+the logistic regression that calibrates scores on rows that training did not see.  There a
+toxic row weighs as much as RECALL clean ones, since a missed one is the worse mistake.
+
+The model is fitted by one task to a sample of SAMPLE labelled texts of any length.  Scores
+depend on the text alone.  Defined cases: null and empty texts, and texts without
+words, get the score of bags without evidence, the calibrated prior of nothing; texts
 shorter than a window are one window; with no labelled rows, or labels of one kind, every
 score is that label's share (0 without labels); repeated rows are scored alike; an empty
-table gives an empty table; other columns are ignored.
+table gives an empty table; other columns are ignored, and none clashes with the score.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import table
-from .subwords import distinct_words, labelled_sample, ngrams
+from .subwords import distinct_words, ngrams, stretches, trained
 from .textscan import chunks
 
 SIZES = (3, 4, 5, 6)
@@ -34,9 +37,10 @@ BITS = 17
 DIM = 8
 WINDOW = 2
 SAMPLE = 4_000  # labelled rows that the model is trained on
-LONGEST = 10_000  # characters of a text that is trained on
+LONGEST = 20_000  # characters that stand for a sampled text; a longer one gives stretches from all of it
 EVIDENCE = 12.0  # G statistic of a subword's uses against the labels from which it is learnt in full
 COMMON, WEAK = 0.01, 0.2  # uses for each text from which other subwords are learnt too, and how strongly
+RECALL = 4.0  # clean rows that weigh as much as one toxic row in calibration
 CALIBRATION = 5  # one of so many sampled rows is kept for calibration
 STEPS, REFINE = 60, 60
 _SLICE = 20_000  # distinct words whose subwords are worked on at a time
@@ -44,15 +48,16 @@ _SLICE = 20_000  # distinct words whose subwords are worked on at a time
 
 @dataclass
 class Model:
-    """Log-odds of each subword bucket, already multiplied out: a window's score is their mean."""
+    """Log-odds of each subword bucket, already multiplied out: a bag's score is their mean."""
 
     odds: np.ndarray
     bias: float
-    slope: float = 1.0
+    slope: float = 1.0  # of the worst window
     offset: float = 0.0
+    whole: float = 0.0  # of the whole text
 
-    def scores(self, worst: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -500, 500)))
+    def scores(self, worst: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.whole * mean + self.offset, -500, 500)))
 
 
 def _prefix(x: np.ndarray) -> np.ndarray:
@@ -77,6 +82,12 @@ def worst_windows(odds: np.ndarray, counts: np.ndarray, word_at: np.ndarray, win
     return best, first
 
 
+def whole_bags(odds: np.ndarray, counts: np.ndarray, word_at: np.ndarray) -> np.ndarray:
+    """Mean log-odds of all subwords of each row; 0 without words."""
+    total, count = _prefix(odds)[word_at], _prefix(counts)[word_at]
+    return np.diff(total) / np.maximum(np.diff(count), 1)
+
+
 def _excess(found: np.ndarray, expected: np.ndarray) -> np.ndarray:
     return found * np.log(np.maximum(found, 1e-9) / np.maximum(expected, 1e-9))
 
@@ -187,24 +198,25 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
             bias -= 0.1 * float(pull.sum())
     model = Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), bias)
     checked = Texts([t for t, h in zip(texts, held, strict=True) if h]) if held.any() else fit
-    worst = worst_windows(checked.word_sums(model.odds)[checked.which], checked.counts[checked.which], checked.word_at)[0]
-    return calibrate(model, worst + bias, labels[held].astype(float) if held.any() else y)
+    bags = checked.word_sums(model.odds)[checked.which], checked.counts[checked.which], checked.word_at
+    return calibrate(model, worst_windows(*bags)[0], whole_bags(*bags), labels[held].astype(float) if held.any() else y)
 
 
-def calibrate(model: Model, worst: np.ndarray, y: np.ndarray) -> Model:
-    """Logistic regression of the label on the worst window, with pseudo-counts so that it converges."""
-    scale = float(worst.std()) or 1.0
-    x = np.stack([worst / scale, np.ones(len(worst))], axis=1)
+def calibrate(model: Model, worst: np.ndarray, mean: np.ndarray, y: np.ndarray) -> Model:
+    """Logistic regression of the label on both bags, with pseudo-counts so that it converges."""
+    scale = np.array([float(worst.std()) or 1.0, float(mean.std()) or 1.0])
+    x = np.stack([worst / scale[0], mean / scale[1], np.ones(len(worst))], axis=1)
     high, low = (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2)
-    wanted, w = np.where(y == 1, high, low), np.zeros(2)
+    wanted, weight, w = np.where(y == 1, high, low), np.where(y == 1, RECALL, 1.0), np.zeros(3)
+    ridge = np.array([1e-6, 10.0, 1e-6])  # the whole text counts only where it adds something
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        move = np.linalg.solve(hessian, x.T @ (wanted - p) - 1e-6 * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        move = np.linalg.solve(hessian, x.T @ (weight * (wanted - p)) - ridge * w)
         w = w + move * min(1.0, 2.0 / (np.abs(move).max() + 1e-12))
         if np.abs(move).max() < 1e-9:
             break
-    return Model(model.odds, model.bias, float(w[0]) / scale, float(w[1]) + float(w[0]) / scale * model.bias)
+    return Model(model.odds, model.bias, float(w[0] / scale[0]), float(w[2]), float(w[1] / scale[1]))
 
 
 def _score(model: Model, text: int, name: str) -> Callable:
@@ -216,8 +228,9 @@ def _score(model: Model, text: int, name: str) -> Callable:
                 sums = np.bincount(of_word, model.odds[bucket], len(words))[which]
                 counts = np.bincount(of_word, minlength=len(words)).astype(np.float64)[which]
                 worst, _ = worst_windows(sums, counts, chunk.word_at)
+                mean = whole_bags(sums, counts, chunk.word_at)
                 n = chunk.hi - chunk.lo
-                yield pa.RecordBatch.from_arrays([*(c.slice(chunk.lo, n) for c in batch.columns), pa.array(model.scores(worst))], [*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*(c.slice(chunk.lo, n) for c in batch.columns), pa.array(model.scores(worst, mean))], [*batch.schema.names, name])
 
     return score
 
@@ -226,8 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of ``labels.toxic``, from labelled documents that are not held out."""
     label = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("text").cast("string").alias("text")).join(label, "doc_id")
-    found = labelled_sample(rows, SAMPLE, LONGEST)
-    return train(found["text"].tolist(), found["toxic"].to_numpy())
+    return trained(rows, SAMPLE, lambda found: train([stretches(t, LONGEST) for t in found["text"]], found["toxic"].to_numpy(dtype=np.int64)))
 
 
 def held_out(doc_id):
