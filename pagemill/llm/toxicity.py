@@ -6,7 +6,7 @@ a linear softmax.  Two bags of a text are scored: the whole text, and its worst
 consecutive words, so that one insult weighs as much in a long text as in a short one.
 Embeddings and softmax are trained together: first on all windows under their document's
 label, then on each document's worst window.  How the two bags are pooled is learnt too, by
-the logistic regression that calibrates scores on rows that training did not see.  There a
+the logistic regression that calibrates scores, on rows that the model it judges didn't see.  There a
 toxic row weighs as much as RECALL clean ones, since a missed one is the worse mistake.
 
 The model is fitted by one task to a sample of SAMPLE labelled texts of any length.  Scores
@@ -151,13 +151,26 @@ class _Adam:
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
-    """Full-batch training; the same rows give the same model."""
+    """Full-batch training on all rows; the same rows give the same model.
+
+    Calibration takes the bags of rows that a second model, trained without them, gives.
+    """
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, float(np.log(share + 1e-300) - np.log(1 - share + 1e-300)))
-    held = np.arange(len(texts)) % CALIBRATION == CALIBRATION - 1 if len(texts) >= 4 * CALIBRATION else np.zeros(len(texts), bool)
-    fit = Texts([t for t, h in zip(texts, held, strict=True) if not h])
-    y = labels[~held].astype(np.float64)
+    y = labels.astype(np.float64)
+    whole = learnt(Texts(texts), y, seed)
+    held = np.arange(len(texts)) % CALIBRATION == CALIBRATION - 1
+    if len(texts) < 4 * CALIBRATION or len(set(labels[~held])) < 2:
+        held[:] = False
+    part = learnt(Texts([t for t, h in zip(texts, held, strict=True) if not h]), y[~held], seed) if held.any() else whole
+    checked = Texts([t for t, h in zip(texts, held, strict=True) if h or not held.any()])
+    bags = checked.word_sums(part.odds)[checked.which], checked.counts[checked.which], checked.word_at
+    return calibrate(whole, worst_windows(*bags)[0], whole_bags(*bags), y[held] if held.any() else y)
+
+
+def learnt(fit: Texts, y: np.ndarray, seed: int) -> Model:
+    """Embeddings and softmax of the texts, before calibration."""
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     known = fit.telling(y)[:, None]
@@ -196,10 +209,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
         softmax -= adam_top.step(np.stack([-top, top], axis=1) * len(y))
         if step >= STEPS:
             bias -= 0.1 * float(pull.sum())
-    model = Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), bias)
-    checked = Texts([t for t, h in zip(texts, held, strict=True) if h]) if held.any() else fit
-    bags = checked.word_sums(model.odds)[checked.which], checked.counts[checked.which], checked.word_at
-    return calibrate(model, worst_windows(*bags)[0], whole_bags(*bags), labels[held].astype(float) if held.any() else y)
+    return Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), bias)
 
 
 def calibrate(model: Model, worst: np.ndarray, mean: np.ndarray, y: np.ndarray) -> Model:
