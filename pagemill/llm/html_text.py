@@ -8,20 +8,21 @@ columns, with spans; other white space collapses, across elements too.
 
 Not visible are: head matter, scripts, styles, templates and embedded fallbacks; elements
 with ``hidden``, ``display:none`` or ``visibility:hidden``, also by a style sheet's plain
-tag, class or id selectors; hidden inputs; closed dialogs, and closed details but for their
-summary.  An image shows its alternative text.
+tag, class or id selectors, but for rules of other media than screens; hidden inputs; closed
+dialogs, and closed details but for their summary.  An image shows its alternative text, a
+drawing its text elements, a formula its text.
 
 Defined cases: a null or empty page gives an empty text; a page without markup is its own
-collapsed text; text after an unclosed comment, script or style is part of it; deeper than
-512 levels elements become siblings; repeated rows are rendered alike; an empty table gives
-an empty table; other columns are ignored.
+collapsed text; text after an unclosed comment, script or style is part of it; elements may
+lie in one another to any depth, but indents stop growing at 80 columns; repeated rows are
+rendered alike; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import sys
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .storage import table
 
-DEPTH = 512
+INDENT = 80  # columns at which indents stop growing
 _TAG = re.compile(r"""<(?:!--|(?P<odd>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>)""")
 _LOOSE = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)>")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -40,7 +41,7 @@ _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-_UNSEEN = frozenset("head script style template title meta link base noscript iframe noembed noframes datalist object audio video canvas svg math param source track area map".split())
+_UNSEEN = frozenset("head script style template title meta link base noscript iframe noembed noframes datalist object audio video canvas param source track area map annotation annotation-xml".split())
 _MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre xmp plaintext table figure hr menu fieldset".split())
 _BLOCK = _MARGIN | frozenset("html body address article aside center dd details dialog dir div dt figcaption footer form header hgroup legend li main nav optgroup option search section summary tr caption".split())
 _ENDS_P = _BLOCK - {"html", "body", "option", "optgroup", "tr", "caption"}
@@ -53,6 +54,7 @@ _CLOSES = {
     "body": ({"head"}, set()),
 }
 _SCOPE = frozenset({"table", "td", "th", "caption", "button", "object", "template"})
+_FOREIGN = ("svg", "math")
 _HEAD = frozenset("head title base link meta style script noscript template".split())
 
 
@@ -75,10 +77,13 @@ def build(html: str) -> tuple[Node, list[str]]:
     """(root of the tree, texts of its style sheets)."""
     root = Node("#root", {})
     stack, sheets, at, n = [root], [], 0, len(html)
+    p_at = [-1]  # for each open element, the place of the p that a block in it would end
+    opened: Counter[str] = Counter()
     tag_of = _TAG
 
     def close(to: int) -> None:
-        del stack[to:]
+        opened.subtract(x.tag for x in stack[to:])
+        del stack[to:], p_at[to:]
 
     while at < n:
         begin = html.find("<", at)
@@ -112,37 +117,32 @@ def build(html: str) -> tuple[Node, list[str]]:
             continue
         name, at = name.lower(), m.end()
         if m["end"]:
-            if name in ("p", "br") and not any(x.tag == name for x in stack):
+            if name in ("p", "br") and not opened[name]:
                 stack[-1].kids.append(Node(name, {}))
                 continue
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[k].tag == name:
                     close(k)
                     break
                 if stack[k].tag == "table" and name not in ("table", "body", "html"):
                     break
             continue
-        if name in ("html", "body") and any(x.tag == name for x in stack):
+        if name in ("html", "body") and opened[name]:
             continue
         if name not in _HEAD:
             if stack[-1].tag == "head":
                 close(len(stack) - 1)
         if name in _CLOSES:
             ends, bounds = _CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ends) else ():
                 if stack[k].tag in bounds:
                     break
                 if stack[k].tag in ends:
                     close(k)
                     if name not in ("tr", "thead", "tbody", "tfoot"):
                         break
-        if name in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in _SCOPE:
-                    break
+        if name in _ENDS_P and p_at[-1] > 0:
+            close(p_at[-1])
         node = Node(name, _attributes(m["attrs"]))
         stack[-1].kids.append(node)
         if name in _VOID:
@@ -157,18 +157,44 @@ def build(html: str) -> tuple[Node, list[str]]:
                 break
             close_at = html.find(">", end.end())
             at = n if close_at < 0 else close_at + 1
-        elif not m["attrs"].rstrip().endswith("/") or name not in ("svg", "math"):
-            if len(stack) < DEPTH:
-                stack.append(node)
+        elif not m["attrs"].rstrip().endswith("/") or not (name in _FOREIGN or any(opened[x] for x in _FOREIGN)):
+            p_at.append(len(stack) if name == "p" else -1 if name in _SCOPE else p_at[-1])
+            stack.append(node)
+            opened[name] += 1
     return root, sheets
 
 
+def _screen_rules(sheet: str) -> str:
+    """The sheet without comments and without blocks of other media than screens; other at-blocks are opened."""
+    sheet, out, at = re.sub(r"/\*.*?\*/", "", sheet, flags=re.DOTALL), [], 0
+    for m in re.finditer(r"@([\w-]+)([^{};]*)([{;])", sheet):
+        if m.start() < at:
+            continue
+        out.append(sheet[at : m.start()])
+        at = m.end()
+        if m[3] == "{":
+            at = _block_end(sheet, at)
+            media = m[2].lower()
+            if m[1].lower() in ("media", "supports", "layer", "container") and ("screen" in media or "all" in media.split() or not re.search(r"\b(?:print|speech)\b", media)):
+                out.append(_screen_rules(sheet[m.end() : at - 1]))
+    return "".join([*out, sheet[at:]])
+
+
+def _block_end(sheet: str, at: int) -> int:
+    depth = 1
+    for m in re.finditer(r"[{}]", sheet[at:]):
+        depth += 1 if m[0] == "{" else -1
+        if not depth:
+            return at + m.end()
+    return len(sheet)
+
+
 def hidden_selectors(sheets: list[str]) -> frozenset[str]:
     """Plain selectors (tag, .class, #id) whose rules hide."""
     found = set()
     for sheet in sheets:
         if "none" in sheet or "hidden" in sheet or "collapse" in sheet:
-            for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.DOTALL)):
+            for selectors, body in _RULE.findall(_screen_rules(sheet)):
                 if _HIDES.search(body):
                     found.update(x for x in map(str.strip, selectors.lower().split(",")) if re.fullmatch(r"[.#]?[\w-]+", x))
     return frozenset(found)
@@ -195,7 +221,7 @@ class Flow:
 
     def __init__(self) -> None:
         self.parts: list[str] = []
-        self.gap, self.space, self.indent, self.marker = 0, False, "", ""
+        self.gap, self.space, self.indent, self.marker = 0, False, 0, ""
 
     def want(self, lines: int) -> None:
         """The next text begins after so many line ends."""
@@ -208,10 +234,10 @@ class Flow:
                 self.parts.append("\n" * self.gap)
             self.gap, self.space = 0, False
             if self.marker:
-                self.parts.append(self.indent[: -len(self.marker)] + self.marker)
+                self.parts.append(" " * min(INDENT, self.indent - len(self.marker)) + self.marker)
                 self.marker = ""
             elif self.indent:
-                self.parts.append(self.indent)
+                self.parts.append(" " * min(INDENT, self.indent))
         elif self.space:
             self.parts.append(" ")
             self.space = False
@@ -246,15 +272,40 @@ class Flow:
         self.gap, self.space = self.gap + 1 if self.parts else 0, False
 
 
-def render(node: Node, flow: Flow, hides: frozenset[str], pre: bool = False) -> None:
+def run(job: Generator):
+    """Runs a generator that yields the generators it waits for; nesting takes no Python stack."""
+    waiting, value = [job], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(value))
+            value = None
+        except StopIteration as done:
+            waiting.pop()
+            value = done.value
+    return value
+
+
+def render(node: Node, flow: Flow, hides: frozenset[str], pre: bool = False) -> Generator:
     for kid in node.kids:
         if isinstance(kid, str):
             flow.lines(kid.replace("\r\n", "\n")) if pre else flow.text(kid)
         elif visible(kid, hides):
-            _element(kid, flow, hides, pre)
+            yield _element(kid, flow, hides, pre)
 
 
-def _element(node: Node, flow: Flow, hides: frozenset[str], pre: bool) -> None:
+def _drawing(node: Node, flow: Flow, hides: frozenset[str]) -> Generator:
+    """Only a drawing's text elements and embedded pages show text."""
+    for kid in node.kids:
+        if isinstance(kid, Node) and kid.tag not in ("defs", "desc", "metadata", "symbol") and visible(kid, hides):
+            if kid.tag in ("text", "foreignobject"):
+                flow.want(1)
+                yield render(kid, flow, hides)
+                flow.want(1)
+            else:
+                yield _drawing(kid, flow, hides)
+
+
+def _element(node: Node, flow: Flow, hides: frozenset[str], pre: bool) -> Generator:
     tag = node.tag
     if tag == "br":
         flow.line_end()
@@ -265,17 +316,19 @@ def _element(node: Node, flow: Flow, hides: frozenset[str], pre: bool) -> None:
     elif tag == "input":
         if node.attrs.get("type", "text").lower() not in ("checkbox", "radio", "password", "file"):
             flow.text(node.attrs.get("value", ""))
+    elif tag == "svg":
+        yield _drawing(node, flow, hides)
     elif tag == "table":
         flow.want(2)
-        _table(node, flow, hides)
+        yield _table(node, flow, hides)
         flow.want(2)
     elif tag in ("ul", "ol", "menu", "dir"):
-        _list(node, flow, hides)
+        yield _list(node, flow, hides)
     elif tag == "details" and "open" not in node.attrs:
         flow.want(1)
         for kid in node.kids:
             if isinstance(kid, Node) and kid.tag == "summary":
-                render(kid, flow, hides)
+                yield render(kid, flow, hides)
                 break
         flow.want(1)
     elif tag in _BLOCK:
@@ -283,17 +336,17 @@ def _element(node: Node, flow: Flow, hides: frozenset[str], pre: bool) -> None:
         flow.want(lines)
         held = flow.indent
         if tag == "dd" or tag == "blockquote":
-            flow.indent += "  "
-        render(node, flow, hides, pre or tag in ("pre", "xmp", "plaintext"))
+            flow.indent += 2
+        yield render(node, flow, hides, pre or tag in ("pre", "xmp", "plaintext"))
         flow.indent = held
         flow.want(lines)
     elif tag == "q":
         flow.text('"')
-        render(node, flow, hides, pre)
+        yield render(node, flow, hides, pre)
         flow.space = False
         flow.text('"')
     else:
-        render(node, flow, hides, pre or tag == "textarea")
+        yield render(node, flow, hides, pre or tag == "textarea")
 
 
 def _number(text: str | None, otherwise: int, most: int = 10**9) -> int:
@@ -301,7 +354,7 @@ def _number(text: str | None, otherwise: int, most: int = 10**9) -> int:
     return max(-most, min(most, int(m[1]))) if m else otherwise
 
 
-def _list(node: Node, flow: Flow, hides: frozenset[str]) -> None:
+def _list(node: Node, flow: Flow, hides: frozenset[str]) -> Generator:
     outer = flow.indent
     gap = 1 if outer else 2
     flow.want(gap)
@@ -314,20 +367,22 @@ def _list(node: Node, flow: Flow, hides: frozenset[str]) -> None:
             marker = f"{number}. " if node.tag == "ol" else "- "
             number += 1
             flow.want(1)
-            flow.indent, flow.marker = outer + " " * len(marker), marker
-            render(kid, flow, hides)
+            flow.indent, flow.marker = outer + len(marker), marker
+            yield render(kid, flow, hides)
             flow.indent, flow.marker = outer, ""
             flow.want(1)
         elif isinstance(kid, Node):
             if visible(kid, hides):
-                _element(kid, flow, hides, False)
+                yield _element(kid, flow, hides, False)
         elif not kid.isspace():
             flow.text(kid)
     flow.want(gap)
 
 
 def _rows(node: Node, hides: frozenset[str], loose: list) -> Iterator[Node]:
-    for kid in node.kids:
+    todo = node.kids[::-1]
+    while todo:
+        kid = todo.pop()
         if isinstance(kid, str):
             if not kid.isspace():
                 loose.append(kid)
@@ -335,7 +390,7 @@ def _rows(node: Node, hides: frozenset[str], loose: list) -> Iterator[Node]:
             if kid.tag == "tr":
                 yield kid
             elif kid.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(kid, hides, loose)
+                todo += kid.kids[::-1]
             elif kid.tag in ("td", "th"):
                 row = Node("tr", {})
                 row.kids.append(kid)
@@ -344,13 +399,13 @@ def _rows(node: Node, hides: frozenset[str], loose: list) -> Iterator[Node]:
                 loose.append(kid)
 
 
-def _lines_of(node: Node, hides: frozenset[str]) -> list[str]:
+def _lines_of(node: Node, hides: frozenset[str]) -> Generator:
     flow = Flow()
-    render(node, flow, hides)
+    yield render(node, flow, hides)
     return "".join(flow.parts).split("\n")
 
 
-def _table(node: Node, flow: Flow, hides: frozenset[str]) -> None:
+def _table(node: Node, flow: Flow, hides: frozenset[str]) -> Generator:
     """Captions and stray content first, then rows with their cells in columns."""
     loose: list = []
     grid: list[dict[int, tuple[list[str], int]]] = []
@@ -364,7 +419,7 @@ def _table(node: Node, flow: Flow, hides: frozenset[str]) -> None:
                 column += 1
             width = max(1, _number(kid.attrs.get("colspan"), 1, 1000))
             height = max(1, _number(kid.attrs.get("rowspan"), 1, 65534))
-            cells[column] = (_lines_of(kid, hides), width)
+            cells[column] = ((yield _lines_of(kid, hides)), width)
             for k in range(column, column + width):
                 spans[k] = height if height > 1 else 1
             column += width
@@ -374,7 +429,7 @@ def _table(node: Node, flow: Flow, hides: frozenset[str]) -> None:
         if isinstance(item, str):
             flow.text(item)
         else:
-            _element(item, flow, hides, False)
+            yield _element(item, flow, hides, False)
             flow.want(1)
     widths: dict[int, int] = {}
     for cells in grid:
@@ -405,10 +460,9 @@ def _table(node: Node, flow: Flow, hides: frozenset[str]) -> None:
 def visible_text(html: str | None) -> str:
     if not html:
         return ""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * DEPTH))  # a level takes two or three calls
     root, sheets = build(html)
     flow = Flow()
-    render(root, flow, hidden_selectors(sheets))
+    run(render(root, flow, hidden_selectors(sheets)))
     return "".join(flow.parts)
 
 
