@@ -5,11 +5,15 @@ projections on any orthonormal axes.  Vectors are sorted by the cells (of width
 their leading principal coordinates and cut into blocks of consecutive vectors.  Blocks are
 the leaves of a tree of sequence intervals; starting from the root with itself, each level
 is one keyed join that replaces a pair of intervals by the pairs of their children whose
-boxes are within eps.  Surviving pairs of blocks are joined the same way in memory, down to
-short intervals that one matrix product compares.
+boxes are within eps.  Inside a block the sequence is halved again and again along its widest
+axis; a pair of blocks goes on only if some of their leaf intervals are within eps, which is
+decided on the leaves' boxes alone.  Only the vectors of such leaves are sent, and each leaf is
+compared with those near it by one matrix product.  Boxes span the leading axes and the
+length of what these leave out, which differs by no more than the vectors do.
 
 Links are never listed: each pair of blocks gives the number of links of each vector and a
-spanning forest of the links.  Equal vectors are one node that counts as often as it occurs.
+spanning forest of the links.  Equal vectors, told by 96 bits of two hashes, are one node that
+counts as often as it occurs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing and are their own component; vectors of different lengths don't link;
@@ -30,12 +34,13 @@ from .components import components, forest
 from .storage import narrow, table, tasks, written
 
 COSINE = 0.95
-AXES = 16  # leading axes that bound distances
-BLOCK = 2048
-LEAF = 256
+AXES = 32  # leading axes that bound distances
+BLOCKS = 2048, 16_384  # fewest and most vectors of a block; fewer where tasks would be idle
+LEAF = 32
 FAN = 16
-SAMPLE = 20_000  # vectors that the axes are fitted to; any axes give the same links
-_BLOCKS = "block long, low array<double>, high array<double>, nodes binary, times binary, vectors binary"
+SAMPLE = 1 << 23  # components of the vectors that the axes are fitted to; any axes give the same links
+_SLACK = 1e-6  # by which rounding may lengthen a gap of boxes
+_BLOCKS = "block long, low array<double>, high array<double>, leaves binary, nodes binary, times binary, vectors binary"
 
 
 def _units(raw: np.ndarray) -> np.ndarray:
@@ -45,14 +50,54 @@ def _units(raw: np.ndarray) -> np.ndarray:
 
 
 def axes(vectors: DataFrame, n: int, dim: int) -> np.ndarray:
-    """Leading principal axes (columns) of a bounded sample of the vectors."""
-    share = min(1.0, SAMPLE / max(1, n))
-    part = vectors.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).select("vector").limit(2 * SAMPLE)
-    rows = [r[0] for r in part.collect()]
-    if not rows:
-        return np.eye(dim)[:, :AXES]
-    x = _units(np.array(rows))
-    return np.linalg.eigh(np.cov(x.T, bias=True).reshape(dim, dim))[1][:, ::-1][:, :AXES]
+    """Leading principal axes (columns) of a bounded sample of the vectors, fitted by one task."""
+    most = max(256, SAMPLE // dim)
+    part = vectors.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < max(1, int(min(1.0, most / max(1, n)) * (1 << 20)))).select("vector").limit(2 * most)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [_units(np.stack(b.column(0).to_numpy(zero_copy_only=False))) for b in batches if b.num_rows]
+        if rows:
+            found = np.linalg.eigh(np.cov(np.concatenate(rows).T, bias=True).reshape(dim, dim))[1][:, ::-1][:, :AXES]
+            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(found).tobytes()], pa.binary())], ["axes"])
+
+    made = part.repartition(1).mapInArrow(fit, "axes binary").head()
+    return np.frombuffer(bytes(made[0])).reshape(dim, -1) if made else np.eye(dim)[:, :AXES]
+
+
+def places(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Coordinates that bound distances: the leading axes, and the length of the rest."""
+    p = x @ basis
+    return np.column_stack([p, np.sqrt(np.maximum(0.0, 1.0 - (p * p).sum(axis=1)))])
+
+
+def halved(p: np.ndarray) -> np.ndarray:
+    """An order in which every half of every interval, down to LEAF, is compact in its widest axis."""
+    order, todo = np.arange(len(p)), [(0, len(p))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo > LEAF:
+            own, mid = p[order[lo:hi]], (hi - lo) // 2
+            axis = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
+            order[lo:hi] = order[lo:hi][np.argpartition(own[:, axis], mid)]
+            todo += [(lo, lo + mid), (lo + mid, hi)]
+    return order
+
+
+def leaf_bounds(n: int) -> list[tuple[int, int]]:
+    """The leaf intervals of a sequence of n, in order."""
+    out, todo = [], [(0, n)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo > LEAF:
+            todo += [(lo, (lo + hi) // 2), ((lo + hi) // 2, hi)]
+        else:
+            out.append((lo, hi))
+    return sorted(out)
+
+
+def leaf_boxes(p: np.ndarray) -> np.ndarray:
+    """(leaf, 2, axis): least and greatest places of each leaf interval."""
+    return np.array([[p[lo:hi].min(axis=0), p[lo:hi].max(axis=0)] for lo, hi in leaf_bounds(len(p))])
 
 
 def _keys(basis: np.ndarray, eps: float) -> Callable:
@@ -73,26 +118,29 @@ def _keys(basis: np.ndarray, eps: float) -> Callable:
     return add
 
 
-def _blocks(basis: np.ndarray) -> Callable:
+def _blocks(basis: np.ndarray, size_of: int) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first, count, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def block(raw: np.ndarray, nodes: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-            p = _units(raw) @ basis
-            row = {"block": first + count, "low": p.min(axis=0).tolist(), "high": p.max(axis=0).tolist(), "nodes": nodes.tobytes(), "times": times.tobytes(), "vectors": raw.tobytes()}
-            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("nodes", pa.binary()), ("times", pa.binary()), ("vectors", pa.binary())]))
+            p = places(_units(raw), basis)
+            order = halved(p)
+            p = p[order]
+            row = [first + count, p.min(axis=0).tolist(), p.max(axis=0).tolist(), leaf_boxes(p).tobytes(), *(x[order].tobytes() for x in (nodes, times, raw))]
+            kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["block", "low", "high", "leaves", "nodes", "times", "vectors"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append((np.stack(batch.column(0).to_numpy(zero_copy_only=False)), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
             size += batch.num_rows
-            while size >= BLOCK:
+            while size >= size_of:
                 whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-                yield block(*(x[:BLOCK] for x in whole))
-                held, size, count = [tuple(x[BLOCK:] for x in whole)], size - BLOCK, count + 1
+                yield block(*(x[:size_of] for x in whole))
+                held, size, count = [tuple(x[size_of:] for x in whole)], size - size_of, count + 1
         if size:
             yield block(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -134,71 +182,98 @@ def _width(leaves: DataFrame) -> int:
     return first[0] if first else 1
 
 
-def intervals(a: np.ndarray, b: np.ndarray, reach: float, same: bool) -> Iterator[tuple[int, int, int, int]]:
-    """Recursive join of two sequences of points: leaf intervals within ``reach`` of each other."""
+def touching(x: np.ndarray, y: np.ndarray, reach: float) -> np.ndarray:
+    """Which boxes of x are within reach of which of y."""
+    gap = np.zeros((len(x), len(y)))
+    for axis in range(x.shape[2]):
+        apart = np.maximum(x[:, None, 0, axis] - y[None, :, 1, axis], y[None, :, 0, axis] - x[:, None, 1, axis])
+        gap += np.maximum(apart, 0) ** 2
+    return gap <= reach * reach
+
+
+def _screen(reach: float, width: int) -> Callable:
+    """Of pairs of blocks (a, b, leaves of each), those with leaves within reach, and which leaves these are."""
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[k].as_py()).reshape(-1, 2, width) for c in (2, 3))
+                near = touching(x, y, reach)
+                if near.any():
+                    masks = [np.packbits(near.any(axis=1 - side)).tobytes() for side in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in (0, 1)), *(pa.array([x], pa.binary()) for x in masks)], ["a", "b", "mask_a", "mask_b"])
+
+    return screen
+
+
+_SENT = "a long, b long, side int, nodes binary, times binary, vectors binary"
 
-    def boxes(p: np.ndarray, lo: int, hi: int, into: dict) -> tuple[np.ndarray, np.ndarray]:
-        into[lo, hi] = p[lo:hi].min(axis=0), p[lo:hi].max(axis=0)
-        if hi - lo > LEAF:
-            mid = (lo + hi) // 2
-            boxes(p, lo, mid, into)
-            boxes(p, mid, hi, into)
-        return into[lo, hi]
-
-    left: dict = {}
-    right: dict = left if same else {}
-    boxes(a, 0, len(a), left)
-    if not same:
-        boxes(b, 0, len(b), right)
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        i, j, k, m = todo.pop()
-        (low, high), (low2, high2) = left[i, j], right[k, m]
-        gap = np.maximum(np.maximum(low - high2, low2 - high), 0)
-        if (gap * gap).sum() > reach * reach:
-            continue
-        if j - i <= LEAF and m - k <= LEAF:
-            yield i, j, k, m
-        elif same and (i, j) == (k, m):
-            mid = (i + j) // 2
-            todo += [(i, mid, i, mid), (i, mid, mid, j), (mid, j, mid, j)]
-        elif j - i >= m - k:
-            mid = (i + j) // 2
-            todo += [(i, mid, k, m), (mid, j, k, m)]
-        else:
-            mid = (k + m) // 2
-            todo += [(i, j, k, mid), (i, j, mid, m)]
 
+def _leaves(dim: int, kind: str) -> Callable:
+    """Rows (a, b, side, mask, nodes, times, vectors): a block's vectors in the leaves that the mask names."""
 
-def _join(basis: np.ndarray, dim: int, kind: str, cosine: float) -> Callable:
-    """For each pair of blocks: (node, links) counts, then (node, root) edges of a forest."""
-    reach = np.sqrt(2 - 2 * cosine) + 1e-9
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                mask, nodes, times, raw = (batch.column(c)[k].as_py() for c in range(3, 7))
+                nodes, times, raw = np.frombuffer(nodes, np.int64), np.frombuffer(times, np.int64), np.frombuffer(raw, kind).reshape(-1, dim)
+                bounds = leaf_bounds(len(nodes))
+                wanted = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(bounds))
+                use = np.concatenate([np.arange(lo, hi) for (lo, hi), w in zip(bounds, wanted, strict=True) if w])
+                sent = [pa.array([x[use].tobytes()], pa.binary()) for x in (nodes, times, raw)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(3)), *sent], ["a", "b", "side", "nodes", "times", "vectors"])
+
+    return cut
+
+
+def _join(basis: np.ndarray, dim: int, kind: str, cosine: float, reach: float) -> Callable:
+    """For each pair of blocks: (node, links) counts, then (node, root) edges of a forest.
+
+    The sides of a pair, or the one of a block with itself, follow one another.  A product in single precision, with the most that its rounding can amount to, rules out
+    most pairs of leaves; the others are decided in double precision.
+    """
+    near, step = cosine - dim * 1.2e-7 - 1e-6, max(1, (1 << 21) // dim)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                same = row["a"] == row["b"]
-                x = _units(np.frombuffer(row["vectors_a"], kind).reshape(-1, dim))
-                y = x if same else _units(np.frombuffer(row["vectors_b"], kind).reshape(-1, dim))
-                (n, times), (n2, times2) = ((np.frombuffer(row[f"nodes_{k}"], np.int64), np.frombuffer(row[f"times_{k}"], np.int64)) for k in "ab")
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                nodes, times_of = (np.frombuffer(row[c], np.int64) for c in ("nodes", "times"))
+                units, same = _units(np.frombuffer(row["vectors"], kind).reshape(-1, dim)), row["a"] == row["b"]
+                if row["side"] == 0:
+                    n, times, x = nodes, times_of, units
+                if row["side"] == 0 and not same:
+                    continue  # its other side comes next
+                n2, times2, y = nodes, times_of, units
                 links, links2, left, right = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), [], []
-                for i, j, k, m in intervals(x @ basis, y @ basis, reach, same):
-                    dots = x[i:j] @ y[k:m].T
-                    hit = dots >= cosine
-                    close = np.argwhere(np.abs(dots - cosine) < 1e-9)
-                    for p, q in close:  # a fixed order of addition decides at the edge
-                        hit[p, q] = float((x[i + p] * y[k + q]).sum()) >= cosine
-                    if same and i == k:
-                        np.fill_diagonal(hit, False)
-                    if not hit.any():
+                rough, rough2 = x.astype(np.float32), y.astype(np.float32)
+                bounds, bounds2 = leaf_bounds(len(x)), leaf_bounds(len(y))
+                near_leaves = touching(leaf_boxes(places(x, basis)), leaf_boxes(places(y, basis)), reach)
+                if same:
+                    near_leaves = np.triu(near_leaves)
+                leaf_of = np.repeat(np.arange(len(bounds2)), [hi - lo for lo, hi in bounds2])
+                for (i, j), touched in zip(bounds, near_leaves, strict=True):
+                    most = touched.mean() > 0.7  # then taking them out costs more than it saves
+                    cols = np.arange(len(y)) if most else np.flatnonzero(touched[leaf_of])
+                    if same:
+                        cols = cols[cols >= i]
+                    if not len(cols):
+                        continue
+                    part = slice(cols[0], cols[-1] + 1) if len(cols) == cols[-1] + 1 - cols[0] else cols
+                    guess = rough[i:j] @ rough2[part].T
+                    if same:
+                        guess[:, : j - i][np.tri(j - i, dtype=bool)] = -1  # each pair once
+                    p, q = np.nonzero(guess >= near)
+                    if not len(p):
                         continue
-                    links[i:j] += hit @ times2[k:m]
-                    if not (same and i == k):
-                        (links if same else links2)[k:m] += times[i:j] @ hit
-                    p, q = np.nonzero(hit)
-                    child, root = forest(n[i + p], n2[k + q])
-                    left.append(root)
-                    right.append(child)
+                    p, q = p + i, cols[q]
+                    hit = np.concatenate([(x[p[k : k + step]] * y[q[k : k + step]]).sum(axis=1) >= cosine for k in range(0, len(p), step)])
+                    p, q = p[hit], q[hit]
+                    np.add.at(links, p, times2[q])
+                    np.add.at(links if same else links2, q, times[p])
+                    if len(p):
+                        child, root = forest(n[p], n2[q])
+                        left.append(root)
+                        right.append(child)
                 for name, found in ((n, links),) if same else ((n, links), (n2, links2)):
                     if (some := found > 0).any():
                         yield _found(0, name[some], found[some])
@@ -215,19 +290,24 @@ def _found(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def _of_length(vectors: DataFrame, dim: int, kind: str, cosine: float) -> tuple[DataFrame, DataFrame]:
     """(node, links) and (vertex, component) of nodes whose vectors have ``dim`` components."""
-    spark, n = vectors.sparkSession, tasks(vectors.sparkSession)
-    basis = axes(vectors, vectors.count(), dim)
+    spark, n, many = vectors.sparkSession, tasks(vectors.sparkSession), vectors.count()
+    basis = axes(vectors, many, dim)
     eps = float(np.sqrt(2 - 2 * cosine))
+    reach, width = eps + _SLACK, basis.shape[1] + 1
+    size = int(np.clip(many / np.sqrt(6 * n), *BLOCKS))  # so that even if all pairs of blocks survive, each task gets a few
     of = f"vector {vectors.schema['vector'].dataType.simpleString()}, node long, times long, key long"
     keyed = vectors.select("vector", "node", "times").mapInArrow(_keys(basis, eps), of)
-    placed = keyed.repartitionByRange(n, "key", "node").sortWithinPartitions("key", "node").drop("key")
-    blocks = written(placed.mapInArrow(_blocks(basis), _BLOCKS), "blocks")
-    pairs = block_pairs(blocks, eps + 1e-9)
+    parts = max(1, min(n, many // size))
+    placed = keyed.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node").drop("key")
+    blocks = written(placed.mapInArrow(_blocks(basis, size), _BLOCKS), "blocks")
+    left, right = (blocks.select(F.col("block").alias(c), F.col("leaves").alias(f"leaves_{c}")) for c in "ab")
+    near = block_pairs(blocks, reach).join(left, "a").join(right, "b").select("a", "b", "leaves_a", "leaves_b")
+    pairs = written(narrow(near.mapInArrow(_screen(reach, width), "a long, b long, mask_a binary, mask_b binary")), "pairs")
     held = ["nodes", "times", "vectors"]
-    a = blocks.select(F.col("block").alias("a"), *[F.col(c).alias(f"{c}_a") for c in held])
-    b = blocks.select(F.col("block").alias("b"), *[F.col(c).alias(f"{c}_b") for c in held])
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", *[f"{c}_{k}" for k in "ab" for c in held])
-    found = written(both.mapInArrow(_join(basis, dim, kind, cosine), "kind int, a long, b long"), "links")
+    left = pairs.join(blocks, pairs["a"] == blocks["block"]).select("a", "b", F.lit(0).alias("side"), F.col("mask_a").alias("mask"), *held)
+    right = pairs.where("a <> b").join(blocks, F.col("b") == blocks["block"]).select("a", "b", F.lit(1), "mask_b", *held)
+    sent = left.union(right).mapInArrow(_leaves(dim, kind), _SENT).repartition(n, "a", "b").sortWithinPartitions("a", "b", "side")
+    found = written(sent.mapInArrow(_join(basis, dim, kind, cosine, reach), "kind int, a long, b long"), "links")
     counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     return counts, components(found.where("kind = 1").select("a", "b"))
 
@@ -239,7 +319,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), (F.col(vector_col) if kind else F.col(vector_col).cast("array<double>")).alias("vector"))
     kind = kind or "f8"
     fine = "vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(vector, x -> x <> 0)"
-    grouped = rows.where(fine).groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
+    keyed = rows.select("id", "vector", *[F.when(F.expr(fine), k).alias(c) for c, k in (("key", F.xxhash64("vector")), ("check", F.hash("vector")))])
+    grouped = keyed.where("key is not null").groupBy("key", "check").agg(F.min("id").alias("rep"), F.count("*").alias("times"), F.first("vector").alias("vector"))
     nodes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     dims = [r[0] for r in nodes.select(F.size("vector")).distinct().collect()]  # one row a length
     counts = components_of = None
@@ -248,11 +329,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
         counts, components_of = found if counts is None else (counts.union(found[0]), components_of.union(found[1]))
     if counts is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    named = nodes.select("node", "rep", "times").join(components_of.withColumnRenamed("vertex", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.select("key", "check", "node", "rep", "times").join(components_of.withColumnRenamed("vertex", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     known = named.join(least, "component").join(counts, "node", "left")
-    known = known.select("node", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id").join(nodes.select("node", "vector"), "node").drop("node")
-    out = rows.join(known, "vector", "left").select(
+    known = known.select("key", "check", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
+    out = keyed.select("id", "key", "check").join(known, ["key", "check"], "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"),
     )
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
