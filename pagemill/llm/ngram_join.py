@@ -374,7 +374,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Groups of one anchor follow one another, and a pair that they share is given once.
     """
-    known: set[tuple[int, int]] = set()
+    known: list[np.ndarray] = []
 
     def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         both = pa.Table.from_batches(held).combine_chunks()
@@ -389,10 +389,15 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             y = y[(component[y] != component[x]) & _linkable(size[y], size[x], flags[y], flags[x])]
             if len(y):
                 y = y[7 * np.abs(cells[y] - cells[x]).sum(axis=1, dtype=np.int64) <= size[y] + size[x]]
-                out += [(min(rep[x], rep[z]), max(rep[x], rep[z])) for z in y]
-        out = [x for x in out if x not in known]
-        known.update(out)
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+                out.append(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], axis=1))
+        found = np.concatenate([*known, *out]) if out or known else np.empty((0, 2), np.int64)
+        fresh = np.zeros(len(found), dtype=bool)
+        fresh[sum(map(len, known)) :] = True
+        order = np.lexsort((fresh, found[:, 1], found[:, 0]))
+        found, fresh = found[order], fresh[order]
+        first = np.append(True, (np.diff(found, axis=0) != 0).any(axis=1))[: len(found)]
+        known[:] = [found[first]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[first & fresh, k]), pa.int64()) for k in (0, 1)], ["a", "b"])
 
     now, held = None, []
     for batch in batches:
