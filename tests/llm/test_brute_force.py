@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import html.parser
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.llm import components, fingerprints, langid, lines, mixing, ngram_join, pieces, queries, substrings, toxicity
+from pagemill.llm import components, embeddings, fingerprints, html_text, langid, lines, mixing, ngram_join, pieces, queries, substrings, toxicity
 
 DIR = "/root/testdata/sf0.001"
 
@@ -111,6 +112,30 @@ def test_fingerprints_estimate_jaccard(docs, texts):
     assert plain == {i: r.fingerprint for i, r in found.items()}
 
 
+def random_vectors(seed, n, dim, centres):
+    """Vectors around centres at distances near the threshold, with exact copies and scaled ones."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(centres, dim))
+    x = centre[rng.integers(0, centres, n)] + rng.normal(size=(n, dim)) * rng.choice([0.05, 0.2, 0.3], size=(n, 1))
+    x[n // 2 : n // 2 + 20] = x[:20]
+    x[n // 2 + 20 : n // 2 + 40] = 2 * x[:20]
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize(("n", "dim", "centres", "most"), [(700, 8, 40, 64), (900, 40, 60, 100), (300, 3, 5, 2048)])
+def test_vectors_link_as_by_brute_force(spark, monkeypatch, n, dim, centres, most):
+    monkeypatch.setattr(embeddings, "BLOCKS", (most, most))
+    x = random_vectors(n, n, dim, centres)
+    found = embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).toPandas().sort_values("vec_id")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= embeddings.COSINE
+    assert found.n_links.tolist() == (near.sum(axis=1) - 1).tolist()
+    a, b = np.nonzero(near)
+    child, root = components.forest(a, b)
+    known = dict(zip(child.tolist(), root.tolist(), strict=True))
+    assert found.component_id.tolist() == [known.get(i, i) for i in range(n)]
+
+
 def shingle_sets(text):
     w = words(text)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
@@ -233,6 +258,64 @@ def test_language_on_held_out_rows(spark):
     assert (found.lang_pred == found.lang).mean() > 0.95 and found.score.between(0, 1).all() and (model.weights == 0).mean() > 0.5
 
 
+class PlainReader(html.parser.HTMLParser):
+    """Words of the visible text in the order of the source, without any layout."""
+
+    SKIP = {"head", "script", "style", "template", "noscript", "title", "iframe", "object", "audio", "video", "canvas"}
+    VOID = {"br", "img", "input", "hr", "meta", "link", "col", "area", "base", "wbr"}
+
+    def __init__(self, text):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.out = [], []
+        self.feed(text)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        held = dict(attrs)
+        style = (held.get("style") or "").replace(" ", "")
+        unseen = tag in self.SKIP or "hidden" in held or "display:none" in style or "visibility:hidden" in style
+        if tag == "img" and not unseen and not any(x for _, x in self.stack):
+            self.out.append(held.get("alt") or "")
+        if tag not in self.VOID:
+            self.stack.append((tag, unseen))
+        elif tag in ("br", "hr"):
+            self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        if any(x == tag for x, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(x for _, x in self.stack):
+            self.out.append(data)
+
+
+def test_pages_show_the_words_that_a_plain_reader_finds(spark):
+    """Every page of the table: the same letters, whatever the layout; list markers are taken off."""
+    pages = spark.read.parquet(f"{DIR}/pages.parquet").collect()
+    found = {r.page_id: r.text for r in html_text.extract(spark.read.parquet(f"{DIR}/pages.parquet")).collect()}
+    letters = lambda t: sorted(c for c in t if c.isalpha())
+    assert len(pages) == len(found) > 0
+    for r in pages:
+        assert letters(found[r.page_id]) == letters("".join(PlainReader(r.html).out)), r.page_id
+
+
+def test_pages_of_any_depth():
+    deep = "<div>" * 600
+    assert html_text.visible_text(f"{deep}<p hidden>HID</p><p style='display:none'>HID</p><p>seen") == "seen"
+    assert html_text.visible_text("<blockquote>" * 50_000 + "deep") == " " * html_text.INDENT + "deep"
+    nested = "<table><tr><td>a" * 300
+    assert html_text.visible_text(nested).split() == ["a"] * 300
+
+
+def test_pages_of_other_media_and_drawings():
+    sheet = "<style>/* .c{display:none} */ @media print{.p{display:none}} @media (max-width: 9px){.q{display:none}} .s{display:none}</style>"
+    text = html_text.visible_text(f"{sheet}<p class=c>c</p><p class=p>p</p><p class=q>q</p><p class=s>s</p>")
+    assert text.split() == ["c", "p"]
+    assert html_text.visible_text("a<svg><path d=''/><defs><text>no</text></defs><text>b</text><title>no</title></svg><math><mi>x</mi><annotation>no</annotation></math>").split() == ["a", "b", "x"]
+
+
 def test_line_dedup_deletes_aligned_blocks(spark):
     block = ["a line of the shared block that has ten words", "second", "and one more line of the shared block, which is long"]
     rows = [(1, ["head one", *block, "tail one"]), (2, ["head two", *block, "tail two"]), (3, ["short", "second", "x"]), (4, [block[2], "between", block[0]])]
