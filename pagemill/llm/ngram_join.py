@@ -8,16 +8,23 @@ with similarity 3/4 or more differ in at most ``(s + t) / 7`` elements, and t is
 difference H.  *Pigeonhole.*  If a set demands d_k of segment k and the demands sum to
 H + 1, some segment differs in fewer than d_k elements: its subsets are equal (d_k = 1), or
 equal after one deletion (d_k = 2).  The index holds every segment's subset, and the
-one-deletion neighbours of every sixteenth segment; a set probes with the cheapest demands
+one-deletion neighbours of some segments; a set probes with the cheapest demands
 that sum to H + 1 (*cost-based allocation*): the cost of a subset is the estimated document
 frequency of its rarest shingle, and empty subsets cost most.  Any allocation is exact;
 estimates only steer cost.
 
+*Short texts.*  Where a band has few segments a set may lack filled ones, and would have to
+probe with empty ones that unrelated sets share.  Sets of under 114 shingles therefore get the
+finest partition, each shingle a segment of its own: a partner lacks at most s/4 of them, so
+one of any s/4 + 1 is held by it.  All are indexed, and the cheapest s/4 + 1 probe.  In larger
+sets too few filled segments are five or more standard deviations away.
+
 *Candidates.*  Subset hashes are grouped by value.  Small groups give their pairs; a large
-group first gives a star around one member, and after these are verified only its pairs
-across different components, so a group of near copies never gives all of its pairs.
-Candidates pass an exact bound (the difference of two sets is at least that of their
-element counts in 128 cells of the universe) and are then verified on whole texts.
+group first gives a star around one member, and after these are verified only the pairs of
+members outside its largest component, so a group of near copies never gives all of its
+pairs.  Candidates pass an exact bound (the difference of two sets is at least that of their
+element counts in 128 cells of the universe) and are then verified on the words of whole
+texts.
 
 Defined cases: null texts and texts without words have empty sets and no links; 1-4 words
 give one shingle, the whole sequence; equal sets are one class, linked through its least
@@ -43,7 +50,9 @@ from .textscan import U, Chunk, chunks, mix
 
 WORDS = 5
 CELLS = 128
-ZONE = 16  # every so many segments, one keeps its one-deletion neighbours
+SINGLE = 13  # bands in which every shingle is a segment of its own
+ZONE, CLOSE_ZONE = 16, 4  # every so many segments, one keeps its one-deletion neighbours
+CLOSE = 16  # bands up to which they lie closer
 SMALL_GROUP = 4
 STAR = 256  # partners that one verification group holds
 SAMPLE = 20_000  # documents whose shingles are counted to estimate costs
@@ -156,7 +165,7 @@ class Signatures:
         row_of = np.repeat(np.arange(n), m)
         number = np.arange(first[-1]) - first[row_of]
         salt = mix(number.astype(U) * U(4096) + band[row_of].astype(U), 43)
-        zone = number % ZONE == 0
+        zone = number % np.where(band[row_of] < CLOSE, CLOSE_ZONE, ZONE) == 0
         wide = np.flatnonzero(zone & (held >= 2))  # may demand 2
         pricey = np.maximum(cost[wide] * (held[wide] + 1), 2)
         demand_row, demand_cost = np.append(row_of, row_of[wide]), np.append(cost, pricey)
@@ -178,17 +187,28 @@ class Signatures:
             out.append((row_of[p], mix(total[p] - mixed[with_deletions] + salt[p], 44), f))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+    def of_single(self, sizes: np.ndarray, rows: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same with every shingle indexed, the cheapest ones probing."""
+        order = np.lexsort((tokens, self.costs(tokens), rows))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+        return rows, mix(tokens, 45), np.where(rank <= sizes[rows] // 4, _PROBE, 0) | _INDEX
+
     def of(self, sizes: np.ndarray, rows: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         band = np.searchsorted(LOWS, sizes, side="right") - 1
-        own = self.of_band(sizes, rows, tokens, band, True)
-        beyond = np.flatnonzero(sizes * 4 // 3 > HIGHS[band])
-        if not len(beyond):
-            return own
-        name = np.full(len(sizes), -1)
-        name[beyond] = np.arange(len(beyond))
-        use = name[rows] >= 0
-        other = self.of_band(sizes[beyond], name[rows[use]], tokens[use], band[beyond] + 1, False)
-        return tuple(np.concatenate(x) for x in zip(own, (beyond[other[0]], *other[1:]), strict=True))
+        single = band < SINGLE
+        parts = [(single, 0), (~single, 0), ((sizes * 4 // 3 > HIGHS[band]) & (band + 1 >= SINGLE), 1)]
+        found = []
+        for which, after in parts:
+            some = np.flatnonzero(which)
+            if len(some):
+                name = np.full(len(sizes), -1)
+                name[some] = np.arange(len(some))
+                use = name[rows] >= 0
+                own = sizes[some], name[rows[use]], tokens[use]
+                row, value, flags = self.of_single(*own) if single[some[0]] and not after else self.of_band(*own, band[some] + after, not after)
+                found.append((some[row], value, flags))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 _BLOB = "bucket int, classes binary, sizes binary, counts binary, low binary, high binary"
@@ -257,6 +277,13 @@ def _linkable(a: np.ndarray, b: np.ndarray, fa: np.ndarray, fb: np.ndarray) -> n
     return (4 * np.minimum(a, b) >= 3 * np.maximum(a, b)) & (((fa & _PROBE) > 0) & ((fb & _INDEX) > 0) | ((fb & _PROBE) > 0) & ((fa & _INDEX) > 0))
 
 
+def _may_link(size: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Of a group's members, those that probe or whose size lets some member that probes link with them."""
+    probes = np.sort(size[(flags & _PROBE) > 0])
+    near = np.searchsorted(probes, size * 4 // 3, side="right") > np.searchsorted(probes, -(-size * 3 // 4))
+    return near | ((flags & _PROBE) > 0)
+
+
 _FOUND = "kind int, a long, b long, size int, flags int"  # kind 0: a pair; 1: member b of group a
 
 
@@ -311,10 +338,13 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = set()
         for g in large:
             s = slice(at[g], at[g] + length[g])
+            s = np.arange(s.start, s.stop)[_may_link(size[s], flags[s])]
+            if len(s) < 2:
+                continue
             name = int(mix(np.array([np.add.reduce(mix(owner[s].view(U) * U(4) + flags[s].astype(U), 7))], dtype=U), 8).view(np.int64)[0])
             if name not in known:
                 known.add(name)
-                yield out(1, np.full(length[g], name), owner[s], size[s], flags[s])
+                yield out(1, np.full(len(s), name), owner[s], size[s], flags[s])
 
     now, blobs = None, []
     for batch in batches:
@@ -342,9 +372,24 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).filter(pa.array(keep))
 
 
+def shingle_words(text: bytes) -> set[bytes]:
+    """The shingles of a text as words, A-Z in lower case."""
+    words = text.lower().split()
+    if len(words) < WORDS:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(words[k : k + WORDS]) for k in range(len(words) - WORDS + 1)}
+
+
+def similar(common: int, a: int, b: int) -> bool:
+    return 100 * common >= 75 * (a + b - common)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows are (a, chunk, kind, doc, class, text), each chunk's first row being a's own text."""
-    now, center = None, None
+    """Rows are (a, chunk, kind, doc, class, text), each chunk's first rows being a's own texts.
+
+    Hashes that share clearly too little rule a pair out; every link is decided on words.
+    """
+    now, centers = None, []  # (tokens, text, shingles once they are needed)
     for batch in batches:
         linked = []
         for chunk in chunks(batch.column(5), lower=True):
@@ -356,13 +401,21 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r, (a, piece, kind, doc, name) in enumerate(zip(*(part.column(k).to_pylist() for k in range(5)), strict=True)):
                 if classes[r] != name:
                     continue  # another text of a repeated doc_id
-                own = tokens[at[r] : at[r + 1]]
+                if now != (a, piece):
+                    now, centers = (a, piece), []
+                own, text = tokens[at[r] : at[r + 1]], chunk.data[chunk.row_at[r] : chunk.row_at[r + 1]].tobytes()
                 if kind == 0:
-                    now, center = (a, piece), own
-                elif now == (a, piece):
-                    common = len(np.intersect1d(center, own, assume_unique=True))
-                    if 100 * common >= 75 * (len(center) + len(own) - common):
-                        linked.append((a, doc))
+                    centers.append([own, text, None])
+                    continue
+                words = None
+                for center in centers:
+                    common = len(np.intersect1d(center[0], own, assume_unique=True))
+                    if similar(common + 2, len(center[0]) + 2, len(own) + 2):
+                        center[2] = shingle_words(center[1]) if center[2] is None else center[2]
+                        words = shingle_words(text) if words is None else words
+                        if similar(len(center[2] & words), len(center[2]), len(words)):
+                            linked.append((a, doc))
+                            break
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in linked], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
@@ -439,15 +492,24 @@ def _rest(groups: DataFrame, components_of: DataFrame, classes: DataFrame) -> Da
     """Candidate pairs (least doc_ids) of large groups across the components found so far.
 
     Groups of one family share its largest component, so the least component of a group
-    anchors it: groups of one anchor meet in the same tasks, where repeated pairs end.
+    anchors it: groups of one anchor meet in the same tasks, where repeated pairs end.  The
+    members outside a group's largest component are cut into tiles, and so are those inside
+    it, which only meet the others: a tile of each goes to one task.
     """
     n = tasks(groups.sparkSession)
     named = classes.select("class", "rep").join(components_of.withColumnRenamed("vertex", "rep"), "rep", "left")
     placed = groups.join(named.select("class", "rep", F.coalesce("component", "rep").alias("component")), "class")
-    split = placed.groupBy("group").agg(F.min("component").alias("anchor"), F.max("component").alias("y"), F.count("*").alias("n")).where("anchor <> y")
-    tiles = split.groupBy("anchor").agg(F.ceil(F.max("n") / TILE).cast("int").alias("tiles"))
-    tiled = placed.join(split.join(tiles, "anchor").select("group", "anchor", "tiles"), "group")
-    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("class"), "tiles").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    parts = placed.groupBy("group", "component").agg(F.count("*").alias("n"))
+    split = parts.groupBy("group").agg(
+        F.min("component").alias("anchor"), F.max(F.struct("n", "component"))["component"].alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")
+    ).where("n > most")
+    tiles = split.groupBy("anchor").agg(F.ceil(F.max(F.col("n") - F.col("most")) / TILE).cast("int").alias("tiles"), F.ceil(F.max("most") / TILE).cast("int").alias("main_tiles"))
+    tiled = placed.join(split.join(tiles, "anchor").select("group", "anchor", "main", "tiles", "main_tiles"), "group")
+    is_main = F.col("component") == F.col("main")
+    spread = F.xxhash64("class")
+    tiled = tiled.withColumn("tile", F.when(is_main, F.col("tiles") + F.pmod(spread, "main_tiles")).otherwise(F.pmod(spread, "tiles")).cast("int"))
+    last = F.when(is_main, F.col("tiles")).otherwise(F.col("tiles") + F.col("main_tiles")) - 1
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     tiled = tiled.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).join(classes.select("class", "cells"), "class")
     dealt_out = tiled.select(*_MEMBER).repartition(n, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "group")
     return written(narrow(dealt_out.mapInArrow(_across, "a long, b long").distinct()), "across")

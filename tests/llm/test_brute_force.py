@@ -89,6 +89,42 @@ def test_ngram_join_finds_every_link(spark, seed):
     assert found == {i: (len(sets[i]), find(i)) for i in range(len(made))}
 
 
+def unrelated(seed, n):
+    """Texts of 3 to 30 shingles that have no shingle in common."""
+    rng = random.Random(seed)
+    return [" ".join(f"u{k}w{rng.randrange(10**6)}" for _ in range(rng.randrange(7, 35))) for k in range(n)]
+
+
+def compared(made):
+    """Pairs that meet in some group of equal signatures and may link, by the operator's own functions."""
+    import pyarrow as pa
+
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    column = pa.RecordBatch.from_arrays([pa.array(made)], ["text"])
+    blobs = [b for b in ngram_join._signatures(none, 1)([column])]
+    total = 0
+    for found in ngram_join._match(iter(blobs)):
+        kind, a = found.column(0).to_numpy(), found.column(1).to_numpy()
+        _, size = np.unique(a[kind == 1], return_counts=True)
+        total += int((kind == 0).sum()) + int((size * (size - 1) // 2).sum())
+    return total
+
+
+def test_short_unrelated_texts_are_not_compared():
+    """Pairs compared don't grow with the square of the number of short texts."""
+    counts = [compared(unrelated(9, n)) for n in (2000, 4000, 8000)]
+    assert all(c <= n / 100 for c, n in zip(counts, (2000, 4000, 8000), strict=True)), counts
+
+
+def test_versions_of_a_document_are_all_compared(spark):
+    """One doc_id that is the least of two classes: each of its texts finds its near copies."""
+    rng = random.Random(2)
+    one, two = ([f"{k}v{rng.randrange(10**6)}" for _ in range(60)] for k in "ab")
+    rows = [(1, one), (1, two), (2, [*one[:-1], "x"]), (3, [*two[:-1], "y"]), (4, [*one[:-20], *two[:20]])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_bands_allow_all_partners():
     for s in range(1, 5000):
         t = s * 4 // 3
