@@ -86,6 +86,26 @@ def content_box(mask: np.ndarray, margin: int) -> tuple[int, int, int, int] | No
     return max(0, int(xs[0]) - margin), max(0, int(ys[0]) - margin), min(w, int(xs[-1]) + 1 + margin), min(h, int(ys[-1]) + 1 + margin)
 
 
+def figure_crop(data: bytes) -> bytes:
+    """A rendered figure without the white around it: pixels with a channel over 30 from white, and 6 around them."""
+    pixels = read_png(data)
+    colour = rgba(pixels)[:, :, :3].astype(np.int64)
+    box = content_box((255 - colour > 30).any(axis=2), 6)
+    return write_png(pixels[box[1] : box[3], box[0] : box[2]]) if box else data
+
+
+def flatten(pixels: np.ndarray, format: str, background: tuple[int, int, int] = (255, 255, 255)) -> np.ndarray:
+    """Pixels as a format stores them: PNG with alpha, JPEG and BMP laid on the background, others without alpha."""
+    full = rgba(pixels)
+    if format.lower() == "png":
+        return full
+    if format.lower() not in ("jpeg", "jpg", "bmp"):
+        return full[:, :, :3]
+    alpha = full[:, :, 3:].astype(np.int64)
+    mixed = full[:, :, :3].astype(np.int64) * alpha + np.array(background) * (255 - alpha)
+    return ((mixed + 127) // 255).astype(np.uint8)
+
+
 def resize(pixels: np.ndarray, w: int, h: int) -> np.ndarray:
     """Lanczos resampling, one axis after the other."""
 

@@ -20,6 +20,7 @@ TRADEMARKS = {"®": "reg", "™": "tm", "SM": "service"}
 CODE_STARTS = ("telnet ", "C:\\>", "$ ", "http://")
 REACH = 15  # points within which a number or a link belongs to a line
 SESSION_GAP = 200
+DIGIT_WIDTH, RULE_HEIGHT, TEXT_LEFT = (2, 12), 3, 160
 
 
 def line_key(top: Column) -> Column:
@@ -120,24 +121,106 @@ def attach_trademarks(words: DataFrame) -> DataFrame:
     return best.select("doc_id", "page_no", "mark_flow", "tm", F.col("w.line_top").alias("line_top"), F.col("w.flow").alias("flow"), F.col("w.text").alias("text"))
 
 
+def span_middle(y0: Column, y1: Column) -> Column:
+    """The whole point nearest a span's middle, ties to even."""
+    return F.bround((y0 + y1) / 2).cast("long")
+
+
+def narrow_spans(spans: DataFrame) -> DataFrame:
+    """Spans (width, height, x0) that may be a step number: a digit wide, no rule, left of the text."""
+    return spans.where(F.col("width").between(*DIGIT_WIDTH) & (F.col("height") > RULE_HEIGHT) & (F.col("x0") < TEXT_LEFT))
+
+
 def nearest_mark(places: DataFrame, marks: DataFrame, value: str) -> DataFrame:
-    """For each place (id, page_no, y) the mark within REACH points with the least y.
+    """For each place (doc_id, page_no, id, y) the mark of its page within REACH points with the least y.
 
     A band join made exact and equal-keyed: y is whole, so a place looks up 31 keys.  Marks
     of one page and y count once, the last by ``id``.
     """
-    one = marks.groupBy("page_no", "y").agg(F.max_by(value, "id").alias(value))
-    keys = places.select("id", "page_no", F.explode(F.expr(f"transform(sequence(-{REACH}, {REACH}), d -> y + d)")).alias("y"))
-    found = keys.join(one, ["page_no", "y"]).groupBy("id").agg(F.min(F.struct("y", value)).alias("m"))
-    return found.select("id", F.col("m.y").alias("mark_y"), F.col(f"m.{value}").alias(value))
+    one = marks.groupBy("doc_id", "page_no", "y").agg(F.max_by(value, "id").alias(value))
+    keys = places.select("doc_id", "page_no", "id", F.explode(F.expr(f"transform(sequence(-{REACH}, {REACH}), d -> y + d)")).alias("y"))
+    found = keys.join(one, ["doc_id", "page_no", "y"]).groupBy("doc_id", "page_no", "id").agg(F.min(F.struct("y", value)).alias("m"))
+    return found.select("doc_id", "page_no", "id", F.col("m.y").alias("mark_y"), F.col(f"m.{value}").alias(value))
 
 
 def number_sessions(marks: DataFrame) -> DataFrame:
-    """Numbers marks down each page, from 1 again after a gap of more than SESSION_GAP."""
-    page = Window.partitionBy("page_no").orderBy("y", "id")
+    """Numbers marks down each page of a document, from 1 again after a gap of more than SESSION_GAP."""
+    page = Window.partitionBy("doc_id", "page_no").orderBy("y", "id")
     gap = F.col("y") - F.lag("y").over(page)
     found = marks.withColumn("new", F.when(gap > SESSION_GAP, 1).otherwise(0)).withColumn("session", F.sum("new").over(page))
-    return found.withColumn("number", F.row_number().over(Window.partitionBy("page_no", "session").orderBy("y", "id"))).drop("new")
+    return found.withColumn("number", F.row_number().over(Window.partitionBy("doc_id", "page_no", "session").orderBy("y", "id"))).drop("new")
+
+
+def number_steps(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Paragraphs near a number become numbered list items, with it as ``num``.
+
+    Takes blocks with doc_id, page_no, id and y, and numbers (doc_id, page_no, y, id, number).
+    """
+    near = nearest_mark(blocks.where("type = 'paragraph'"), numbers, "number").select("doc_id", "page_no", "id", F.col("number").alias("num"))
+    found = blocks.join(near, ["doc_id", "page_no", "id"], "left")
+    hit = F.col("num").isNotNull()
+    return found.withColumns({"type": F.when(hit, "list_item").otherwise(F.col("type")), "list_kind": F.when(hit, "numbered").otherwise(F.col("list_kind"))})
+
+
+def attach_links(blocks: DataFrame, links: DataFrame) -> DataFrame:
+    """Adds ``href``: the link near a paragraph or list item, or null.  ``links`` is (doc_id, page_no, y, id, uri)."""
+    near = nearest_mark(blocks.where("type in ('paragraph', 'list_item')"), links, "uri").select("doc_id", "page_no", "id", F.col("uri").alias("href"))
+    return blocks.join(near, ["doc_id", "page_no", "id"], "left")
+
+
+def marked_text(words: DataFrame) -> DataFrame:
+    """doc_id, page_no, line_top, text, marked, bold: each line plain, and with sentinels where a style begins or ends.
+
+    Bold and italic begin and end on their own; ends come before beginnings.  ``bold`` tells
+    whether the whole line is.
+    """
+    bold, italic = F.col("fontname").contains("Bold"), F.col("fontname").contains("Italic") | (F.col("fontname").contains("Oblique") & ~F.col("fontname").contains("Bold"))
+    keyed = words.select("doc_id", "page_no", line_key(F.col("top")).alias("line_top"), "x0", "word_seq", "text", bold.alias("b"), italic.alias("i"))
+    order = Window.partitionBy("doc_id", "page_no", "line_top").orderBy("x0", "word_seq")
+    was = {c: F.coalesce(F.lag(c).over(order), F.lit(False)) for c in "bi"}
+    last = F.lead("word_seq").over(order).isNull()
+    signs = [
+        F.when(was["b"] & ~F.col("b"), "__BOLD_END__"), F.when(was["i"] & ~F.col("i"), "__ITALIC_END__"), F.when(F.col("b") & ~was["b"], "__BOLD_START__"), F.when(F.col("i") & ~was["i"], "__ITALIC_START__"),
+        F.col("text"), F.when(last & F.col("b"), "__BOLD_END__"), F.when(last & F.col("i"), "__ITALIC_END__"),
+    ]
+    keyed = keyed.withColumn("signed", F.concat_ws(" ", *signs))
+    line = keyed.groupBy("doc_id", "page_no", "line_top").agg(F.array_sort(F.collect_list(F.struct("x0", "word_seq", "text", "signed"))).alias("w"), F.min("b").alias("bold"))
+    return line.select("doc_id", "page_no", "line_top", F.array_join(F.col("w.text"), " ").alias("text"), F.array_join(F.col("w.signed"), " ").alias("marked"), "bold")
+
+
+def line_blocks(words: DataFrame) -> DataFrame:
+    """Blocks of a page's lines: by how they begin, else by size and weight; paragraph lines that go on are joined.
+
+    doc_id, page_no, y, seq, type, level, list_kind, text, marked, rows; dropped lines are left out.
+    """
+    lines = marked_text(words).join(classify(words), ["doc_id", "page_no", "line_top"])
+    kind = kind_of(F.col("text"))
+    lines = lines.withColumn("kind", F.when((kind == "dropped") | (F.col("type") == "dropped"), "dropped").when(kind != "paragraph", kind).otherwise(F.col("type"))).where("kind <> 'dropped'")
+    page = Window.partitionBy("doc_id", "page_no").orderBy("line_top")
+    goes_on = (F.col("kind") == "paragraph") & (F.lag("kind").over(page) == "paragraph") & ~F.lag("text").over(page).rlike(r"[.:?]$")
+    lines = lines.withColumn("starts", F.when(goes_on, 0).otherwise(1)).withColumn("block_no", F.sum("starts").over(page))
+    item = F.col("kind") == "list_item"
+    text = F.when(item, T.strip_bullet(F.col("text"))).otherwise(F.col("text"))
+    grouped = lines.groupBy("doc_id", "page_no", "block_no", "kind").agg(
+        F.array_sort(F.collect_list(F.struct("line_top", text.alias("text"), "marked", "bold"))).alias("w"), F.max("level").alias("level"),
+    )
+    styled = (F.col("kind") == "paragraph") & F.exists("w", lambda x: x["marked"].contains("__"))
+    return grouped.select(
+        "doc_id", "page_no", F.col("w")[0]["line_top"].alias("y"), F.col("block_no").alias("seq"), F.col("kind").alias("type"), F.when(F.col("kind") == "heading", F.col("level")).otherwise(0).alias("level"),
+        F.when(F.col("kind") == "list_item", "bullet").alias("list_kind"), F.array_join(F.col("w.text"), " ").alias("text"), F.when(styled, F.array_join(F.col("w.marked"), " ")).alias("marked"),
+        F.lit(None).cast("array<array<string>>").alias("rows"),
+    )
+
+
+def page_order(sources: list[DataFrame]) -> DataFrame:
+    """Blocks of several passes over a page, in reading order: by page and y, earlier passes first on ties.
+
+    Each source has doc_id, page_no, y, seq and the same further columns; ``id`` numbers the
+    blocks of a document from 0.
+    """
+    every = reduce(DataFrame.unionByName, [s.withColumn("rank", F.lit(k)) for k, s in enumerate(sources)])
+    place = Window.partitionBy("doc_id").orderBy("page_no", "y", "rank", "seq")
+    return every.withColumn("id", (F.row_number().over(place) - 1).cast("long")).drop("rank", "seq")
 
 
 def page_numbers(spec: Column, total: Column) -> Column:

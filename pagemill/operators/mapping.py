@@ -13,6 +13,7 @@ from pagemill.functions import text as T
 
 #: One-cell header of a callout table, and the note it becomes.
 CALLOUTS = {"WARNING": "warning", "CAUTION": "caution", "DANGER": "danger", "IMPORTANT INFORMATION": "notice", "IMPORTANT": "notice"}
+#: Note types that are hazards, words that begin a note, signs of a reference document, and figure captions.
 HAZARDS = ("notice", "caution", "warning", "danger")
 NOTE_WORDS = ("note", "notes", "notice", "tip", "important")
 REFERENCE_SIGNALS = ("parts list", "the following table", "field name", "abbreviations and acronyms", "appendix", "product codes")
@@ -103,6 +104,20 @@ def map_blocks(blocks: DataFrame) -> DataFrame:
     return assign_elements(reclassify_callouts(merge_split_headings(blocks)))
 
 
+def split_paths(mapped: DataFrame) -> DataFrame:
+    """Parts paragraphs whose first bold run is a menu path into the text before it and the path.
+
+    Takes ``marked``, the text with sentinels; ``seq`` is renumbered by tens to make room.
+    """
+    bold = F.regexp_extract("marked", r"__BOLD_START__\s*(.*?)\s*__BOLD_END__", 1)
+    whole = F.array(F.struct(F.col("element"), F.col("text")))
+    parts = F.when((F.col("type") == "paragraph") & F.coalesce(bold.contains(">"), F.lit(False)), split_bold_path(F.col("text"), bold)).otherwise(whole)
+    found = mapped.select("*", F.size(parts).alias("n_parts"), F.posexplode(parts).alias("part_no", "part"))
+    same = (F.col("n_parts") == 1) & (F.col("part.element") == F.col("element"))
+    new = {"element": F.col("part.element"), "text": F.col("part.text"), "marked": F.when(same, F.col("marked")), "seq": F.col("seq") * 10 + F.col("part_no")}
+    return found.select(*[new.get(c, F.col(c)).alias(c) for c in mapped.columns])
+
+
 def document_types(blocks: DataFrame) -> DataFrame:
     """doc_id, topic_type: two numbered items make a task, tables or signal words a reference."""
     signal = F.lit(False)

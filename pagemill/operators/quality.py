@@ -16,9 +16,10 @@ from pyspark.sql.types import StringType
 from pagemill.functions import text as T
 
 STATUSES = ("pass", "not_checked", "warn", "fail")  # from best to worst
+#: Size of small footer text, and words of a watermark.
 SMALL_TEXT = 10.5
 WATERMARK_WORDS = ("draft", "preliminary")
-#: The order of the checks in a report.
+#: The checks in the order of a report.
 CHECKS = ("footer_month_year", "bookmark_footer_title", "brand_logo", "straight_quotes", "watermark", "change_bar", "even_page_count", "blank_page_notice")
 _MONTHS = T.MONTHS.split("|")
 

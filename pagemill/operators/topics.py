@@ -157,6 +157,12 @@ def inline_xml(text: Column, bold: Column | None = None) -> Column:
     return F.when(text == "", "").when(t.contains("__BOLD_START__"), with_bold).when(t.contains("__ITALIC_START__"), in_bold(with_italic)).otherwise(in_bold(marks(t)))
 
 
+def link_xml(href: Column) -> Column:
+    """An empty external ``xref`` before the text of a paragraph with a link; nothing without one."""
+    email = F.when(href.startswith("mailto:"), ' format="email"').otherwise("")
+    return F.when(F.coalesce(href, F.lit("")) == "", "").otherwise(F.concat(F.lit('<xref href="'), T.attribute(href), F.lit('" scope="external"'), email, F.lit("/>")))
+
+
 def table_xml(rows: Column) -> Column:
     """A table of ragged rows: the first is the head, short rows are filled with empty entries.
 
@@ -193,14 +199,22 @@ def table_xml(rows: Column) -> Column:
 
 
 def fragments(runs: DataFrame) -> DataFrame:
-    """Adds ``fragment``: the XML of each rendered block, with the tags that open and close its list."""
+    """Adds ``fragment``: the XML of each rendered block, with the tags that open and close its list.
+
+    Where blocks have them, ``href`` is a paragraph's link and ``image`` a figure's file.
+    """
     e, text = F.col("element"), T.escape(F.col("text"))
+    own_text = F.coalesce("marked", "text") if "marked" in runs.columns else F.col("text")
+    marked = F.when(own_text.contains("__"), inline_xml(own_text)).otherwise(T.escape(own_text))
+    link = link_xml(F.col("href")) if "href" in runs.columns else F.lit("")
+    source = T.attribute(F.coalesce("image", F.lit(""))) if "image" in runs.columns else F.lit("")
+    shown = F.when(source == "", F.concat(F.lit("[IMAGE — "), T.escape(F.col("caption")), F.lit("]"))).otherwise(T.escape(F.col("caption")))
     hazard = F.substring_index(e, ":", -1)
-    figure = F.concat(F.lit("<fig>"), _wrap("title", T.escape(F.col("caption"))), F.lit('<image href="" placement="inline"><alt>[IMAGE — '), T.escape(F.col("caption")), F.lit("]</alt></image></fig>"))
+    figure = F.concat(F.lit("<fig>"), _wrap("title", T.escape(F.col("caption"))), F.lit('<image href="'), source, F.lit('" placement="inline"><alt>'), shown, F.lit("</alt></image></fig>"))
     path = F.concat(F.lit("<p><menucascade>"), F.array_join(F.transform(path_steps(F.col("text")), lambda s: _wrap("uicontrol", T.escape(s))), ""), F.lit("</menucascade></p>"))
     section = F.when(F.col("shape") == "intro", F.concat(F.lit("<section>"), _wrap("title", text))).otherwise("")
     own = (
-        F.when(e == "p", _wrap("p", text)).when(e == "menucascade", path).when(F.col("container") == "steps", F.concat(F.lit("<step>"), _wrap("cmd", text), F.lit("</step>")))
+        F.when(e == "p", _wrap("p", F.concat(link, marked))).when(e == "menucascade", path).when(F.col("container") == "steps", F.concat(F.lit("<step>"), _wrap("cmd", text), F.lit("</step>")))
         .when(F.col("container").isNotNull(), F.concat(F.lit("<li>"), _wrap("p", text), F.lit("</li>")))
         .when(hazard.isin(*HAZARDS), F.concat(F.lit('<hazardstatement type="'), hazard, F.lit('"><messagepanel>'), _wrap("typeofhazard", text), F.lit("</messagepanel></hazardstatement>")))
         .when(e.startswith("note:"), F.concat(F.lit('<note type="'), hazard, F.lit('">'), _wrap("p", text), F.lit("</note>")))

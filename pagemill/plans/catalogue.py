@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import layout_queries, line_queries, media_queries, quality_queries, source_queries, topic_queries
+from . import layout_queries, line_queries, media_queries, page_queries, quality_queries, report_queries, source_queries, topic_queries
 
-_PARTS = (line_queries, topic_queries, quality_queries, layout_queries, source_queries, media_queries)
+_PARTS = (line_queries, topic_queries, quality_queries, report_queries, layout_queries, source_queries, media_queries, page_queries)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _part in _PARTS:

@@ -185,15 +185,20 @@ MODE_SQL = """with p as (select vec_id, list_transform(range(0, 21), lambda i: [
 select vec_id, case when len(list_filter(px, lambda p: p[3] > p[1] + 20 and p[3] > p[2] + 20)) / 21 > 0.02 then 'blue'
   when len(list_filter(px, lambda p: abs(p[1] - p[2]) > 14 or abs(p[2] - p[3]) > 14 or abs(p[1] - p[3]) > 14)) / 21 > 0.04 then 'color' else 'monochrome' end as mode from p"""
 
-_COLOURS = [(1, "#fff"), (2, "#1a2B3c"), (3, "000000"), (4, "#0f8")]
+_COLOURS = [(-1, "#fff"), (-2, "#1a2B3c"), (-3, "000000"), (-4, "#0f8")]
 
 
 def hex_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours in hex, one for each part and some written in other ways, as numbers."""
+    part = V.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.col("p_partkey") * 7919 % 16777216)), 6, "0")).alias("hex"))
     c = G.rgb(F.col("hex"))
-    return V.literal(spark, "id long, hex string", _COLOURS).select("id", c[0].alias("r"), c[1].alias("g"), c[2].alias("b"))
+    return part.union(V.literal(spark, "id long, hex string", _COLOURS)).select("id", c[0].alias("r"), c[1].alias("g"), c[2].alias("b"))
 
 
-COLOUR_SQL = "with " + V.values("x", "id long, r int, g int, b int", [(1, 255, 255, 255), (2, 26, 43, 60), (3, 0, 0, 0), (4, 0, 255, 136)]) + " select * from x"
+COLOUR_SQL = "with " + V.values("x", "id long, hex string", _COLOURS) + """, al as (select cast(p_partkey as bigint) as id, printf('%06x', p_partkey * 7919 % 16777216) as h from part union all select id, lower(replace(hex, '#', '')) from x),
+six as (select id, case when length(h) = 3 then h[1] || h[1] || h[2] || h[2] || h[3] || h[3] else h end as h from al),
+n as (select id, list_transform(range(1, 7), lambda i: instr('0123456789abcdef', h[i]) - 1) as d from six)
+select id, cast(d[1] * 16 + d[2] as int) as r, cast(d[3] * 16 + d[4] as int) as g, cast(d[5] * 16 + d[6] as int) as b from n"""
 
 
 def settings_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,14 +269,20 @@ REPORT_SQL = V.with_views("v_blocks", _INVENTORY + """ select doc_id, topic_no,
   + " || chr(10) || ".join(f"'{('  ' + a).ljust(14)}: ' || {b}" for a, b in _LABELS) + """ || chr(10) || repeat('─', 60) || chr(10) || case when trim(title) = '' then '  ⚠ The topic''s <title> is empty.' else '  No issues found.' end as report
   from topics_out join inv using (doc_id, topic_no)""")
 
-_NAMES = [(1, "kit-numbers_v24a.docx"), (2, "it's a_test.pdf"), (3, "PLAIN"), (4, "über-maß.PDF")]
+_NAMES = [(-1, "kit-numbers_v24a.docx"), (-2, "it's a_test.pdf"), (-3, "PLAIN"), (-4, "über-maß.PDF")]
 
 
 def map_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.literal(spark, "id long, name string", _NAMES).select("id", T.map_title(F.col("name")).alias("title"))
+    """Titles from file names: those of parts, with dashes, underscores and endings, and some written ones."""
+    name = F.concat(F.replace("p_name", F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, "_").otherwise("-")), F.lit("_v"), F.col("p_size"), F.lit("a.docx"))
+    files = V.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), name.alias("name"))
+    return files.union(V.literal(spark, "id long, name string", _NAMES)).select("id", T.map_title(F.col("name")).alias("title"))
 
 
-MAP_TITLE_SQL = "with " + V.values("x", "id long, title string", [(1, "Kit Numbers V24A"), (2, "It'S A Test"), (3, "Plain"), (4, "Über Maß")]) + " select * from x"
+MAP_TITLE_SQL = "with " + V.values("x", "id long, name string", _NAMES) + r""", al as (
+  select cast(p_partkey as bigint) as id, replace(p_name, ' ', case when p_partkey % 2 = 0 then '_' else '-' end) || '_v' || p_size || 'a.docx' as name from part union all select id, name from x),
+st as (select id, string_split(lower(regexp_replace(regexp_replace(name, '\.[^.]+$', ''), '[_-]', ' ', 'g')), '') as c from al)
+select id, array_to_string(list_transform(range(1, len(c) + 1), lambda i: case when i = 1 or not regexp_matches(c[i - 1], '\p{L}') then upper(c[i]) else c[i] end), '') as title from st"""
 
 
 def block_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,11 +152,13 @@ def band_join_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.nearest_mark(marks.where("kind <> 'click'"), numbered, "number")
 
 
-NUMBERS_SQL = V.with_views("v_spans", """a0 as (select *, case when y - lag(y) over (partition by page_no order by y, id) > 200 then 1 else 0 end as n from v_spans where kind = 'click'),
-a1 as (select *, sum(n) over (partition by page_no order by y, id rows unbounded preceding) as s from a0),
-a2 as (select *, row_number() over (partition by page_no, s order by y, id) as number from a1),
-a as (select page_no, y, arg_max(number, id) as number from a2 group by 1, 2), p as (select * from v_spans where kind <> 'click')
-select p.id, min(a.y) as mark_y, arg_min(a.number, a.y) as number from p join a on a.page_no = p.page_no and a.y between p.y - 15 and p.y + 15 group by p.id""")
+_NUMBERED = """a0 as (select *, case when y - lag(y) over (partition by doc_id, page_no order by y, id) > 200 then 1 else 0 end as n from v_spans where {0}),
+a1 as (select *, cast(sum(n) over (partition by doc_id, page_no order by y, id rows unbounded preceding) as bigint) as session from a0),
+a2 as (select *, row_number() over (partition by doc_id, page_no, session order by y, id) as number from a1)"""
+NUMBERS_SQL = V.with_views("v_spans", _NUMBERED.format("kind = 'click'") + """,
+a as (select doc_id, page_no, y, arg_max(number, id) as number from a2 group by 1, 2, 3), p as (select * from v_spans where kind <> 'click')
+select p.doc_id, p.page_no, p.id, min(a.y) as mark_y, arg_min(a.number, a.y) as number
+from p join a on a.doc_id = p.doc_id and a.page_no = p.page_no and a.y between p.y - 15 and p.y + 15 group by p.doc_id, p.page_no, p.id""")
 
 
 def band_join_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,18 +167,18 @@ def band_join_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.nearest_mark(marks.where("kind <> 'view'"), links, "uri")
 
 
-LINKS_SQL = V.with_views("v_spans", """a as (select page_no, y, arg_max('https://example.org/' || id, id) as uri from v_spans where kind = 'view' group by 1, 2), p as (select * from v_spans where kind <> 'view')
-select p.id, min(a.y) as mark_y, arg_min(a.uri, a.y) as uri from p join a on a.page_no = p.page_no and a.y between p.y - 15 and p.y + 15 group by p.id""")
+LINKS_SQL = V.with_views("v_spans", """a as (select doc_id, page_no, y, arg_max('https://example.org/' || id, id) as uri from v_spans where kind = 'view' group by 1, 2, 3),
+p as (select * from v_spans where kind <> 'view')
+select p.doc_id, p.page_no, p.id, min(a.y) as mark_y, arg_min(a.uri, a.y) as uri
+from p join a on a.doc_id = p.doc_id and a.page_no = p.page_no and a.y between p.y - 15 and p.y + 15 group by p.doc_id, p.page_no, p.id""")
 
 
 def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    narrow = V.spans(spark, sf_dir).where("width between 2 and 12")
-    return L.number_sessions(narrow).select("id", "page_no", "session", F.col("number").cast("long").alias("number"))
+    found = L.number_sessions(L.narrow_spans(V.spans(spark, sf_dir)))
+    return found.select("id", "doc_id", "page_no", "session", F.col("number").cast("long").alias("number"))
 
 
-SESSION_SQL = V.with_views("v_spans", """a0 as (select *, case when y - lag(y) over (partition by page_no order by y, id) > 200 then 1 else 0 end as n from v_spans where width between 2 and 12),
-a1 as (select *, cast(sum(n) over (partition by page_no order by y, id rows unbounded preceding) as bigint) as session from a0)
-select id, page_no, session, row_number() over (partition by page_no, session order by y, id) as number from a1""")
+SESSION_SQL = V.with_views("v_spans", _NUMBERED.format("width between 2 and 12 and height > 3 and x0 < 160") + " select id, doc_id, page_no, session, number from a2")
 
 
 def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,15 +25,23 @@ u as (select *, row_number() over (partition by doc_id, name order by seq) as r
 c as (select p_partkey % 40 as doc_id, cast(p_partkey // 40 as int) as fig_no, p_size as top from part where p_size > 25)
 select u.doc_id, seq, fig_no, 'media/' || name || case when r = 1 then '' else '__' || r end || '.png' as href, coalesce(c.top, 0) as top, case when c.top is null then 0 else 2 end as "right" from u left join c using (doc_id, fig_no)"""
 
-_FILES = [(1, "a.b.png", "_x", "jpeg"), (2, "photo.TIFF", "", "webp"), (3, "noext", "_s", "gif"), (4, ".hidden", "", "PNG")]
+_FILES = [(-1, "a.b.png", "_x", "jpeg"), (-2, "photo.TIFF", "", "webp"), (-3, "noext", "_s", "gif"), (-4, ".hidden", "", "PNG")]
+_FORMATS = ("png", "JPEG", "jpg", "webp", "tiff", "bmp", "gif")
 
 
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = V.literal(spark, "id long, name string, suffix string, format string", _FILES)
+    """Names of processed images: parts as files in formats by turns, and some written ones."""
+    format = F.element_at(F.array(*[F.lit(x) for x in _FORMATS]), (F.col("p_partkey") % len(_FORMATS) + 1).cast("int"))
+    files = V.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.concat("p_name", F.lit(".v"), "p_size", F.lit(".png")).alias("name"), F.when(F.col("p_size") > 20, "_big").otherwise("").alias("suffix"), format.alias("format"))
+    found = files.union(V.literal(spark, "id long, name string, suffix string, format string", _FILES))
     return found.select("id", D.output_name(F.col("name"), F.col("suffix"), F.col("format")).alias("name"))
 
 
-OUTPUT_SQL = "with " + V.values("x", "id long, name string", [(1, "a.b_x.jpg"), (2, "photo.webp"), (3, "noext_s.png"), (4, ".hidden.png")]) + " select * from x"
+OUTPUT_SQL = "with " + V.values("x", "id long, name string, suffix string, format string", _FILES) + r""", al as (
+  select cast(p_partkey as bigint) as id, p_name || '.v' || p_size || '.png' as name, case when p_size > 20 then '_big' else '' end as suffix, ['png', 'JPEG', 'jpg', 'webp', 'tiff', 'bmp', 'gif'][p_partkey % 7 + 1] as format from part
+  union all select id, name, suffix, format from x)
+select id, case when regexp_matches(name, '.\.[^.]*$') then regexp_replace(name, '\.[^.]*$', '') else name end || suffix
+  || case lower(format) when 'jpeg' then '.jpg' when 'jpg' then '.jpg' when 'webp' then '.webp' when 'tiff' then '.tiff' when 'bmp' then '.bmp' else '.png' end as name from al"""
 
 
 def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,17 +62,24 @@ def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 TITLES_SQL = V.with_views("v_lines", _DOC_PAGES + """, f as (select doc_id, arg_min(string_split(text, chr(10))[1], page_no) as line from v_pages group by 1)
 select f.doc_id, coalesce(b.text, f.line) as title from f left join benchmark b on b.item_id = f.doc_id""")
 
-_VERDICTS = [(1, None, True, True, True, True, "color", "monochrome"), (2, "b", False, True, True, True, "color", "monochrome"), (3, "b", True, False, True, True, "monochrome", "monochrome"), (4, "b", True, True, True, False, "monochrome", "monochrome"), (5, "b", True, True, True, True, "blue", "monochrome"), (6, "b", True, True, True, True, "monochrome", "allow_blue"), (7, "b", True, True, True, True, "unknown", "allow_blue")]
-_VERDICT = "id long, brand string, ocr boolean, a boolean, b boolean, t boolean, mode string, wanted string"
+_MODES, _WANTED = ("color", "blue", "monochrome", "unknown"), ("monochrome", "allow_blue", "any")
 
 
 def brand_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = V.literal(spark, _VERDICT, _VERDICTS)
+    """Verdicts on logos for every mix of what may be seen: each part is a case."""
+    k, pick = F.col("p_partkey"), lambda words, n: F.element_at(F.array(*[F.lit(w) for w in words]), (n % len(words) + 1).cast("int"))
+    cases = V.table(spark, sf_dir, "part").select(
+        k.cast("long").alias("id"), F.when(k % 7 != 0, F.col("p_brand")).alias("brand"), (k % 5 != 0).alias("ocr"), (k % 11 != 0).alias("a"), (k % 13 != 0).alias("b"), (k % 17 != 0).alias("t"),
+        pick(_MODES, F.col("p_size")).alias("mode"), pick(_WANTED, k).alias("wanted"),
+    )
     status = D.brand_verdict(*[F.col(c) for c in ("brand", "ocr", "a", "b", "t", "mode", "wanted")])
-    return found.select("id", status.alias("status"), D.lookup(D.LABELS, status).alias("label"))
+    return cases.select("id", status.alias("status"), D.lookup(D.LABELS, status).alias("label"))
 
 
-VERDICT_SQL = "with " + V.values("x", "id long, status string, label string", [(1, "not_checked", "NOT CHECKED"), (2, "not_checked", "NOT CHECKED"), (3, "fail", "FAIL"), (4, "fail", "FAIL"), (5, "warn", "WARN"), (6, "warn", "WARN"), (7, "pass", "PASS")]) + " select * from x"
+VERDICT_SQL = """with c as (select cast(p_partkey as bigint) as id, ['color', 'blue', 'monochrome', 'unknown'][p_size % 4 + 1] as mode, ['monochrome', 'allow_blue', 'any'][p_partkey % 3 + 1] as wanted from part),
+s as (select id, case when id % 7 = 0 or id % 5 = 0 then 'not_checked' when id % 11 = 0 or id % 13 = 0 or id % 17 = 0 then 'fail'
+  when wanted = 'monochrome' and mode in ('blue', 'color') or wanted = 'allow_blue' and mode = 'monochrome' then 'warn' else 'pass' end as status from c)
+select id, status, upper(replace(status, '_', ' ')) as label from s"""
 
 
 def line_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,16 +49,27 @@ r as (select *, row_number() over (partition by doc_id, page_no order by top des
 select doc_id, page_no, case when regexp_matches(line, '(?i)^page\s+\d+$') or regexp_matches(line, '^[©Â]\s*\d{4}') then '' else line end as lines from r where rn = 1
 union all select doc_id, page_no, lines from fixed""")
 
-_TITLED = [(1, ["MDE-5 Guide March 2024", "A much longer footer line than that"]), (2, ["March 2024", "Short", "Longer title"]), (3, ["Note: see", "ab | cd - ef"]), (4, ["12345", "678"]), (5, []), (6, ["April 2023 • Start - Up"]), (7, ["Page 3 of Pumps", "x"])]
-_TITLED_OUT = [(1, "MDE-5 Guide", "March 2024", True), (2, "Longer title", "March 2024", True), (3, "ab cd ef", None, False), (4, "12345", None, False), (5, "", None, False), (6, "Start Up", "April 2023", True), (7, "of Pumps", None, True)]
+_TITLED = [(-1, ["MDE-5 Guide March 2024", "A much longer footer line than that"]), (-2, ["March 2024", "Short", "Longer title"]), (-3, ["Note: see", "ab | cd - ef"]), (-4, ["12345", "678"]), (-5, []), (-6, ["April 2023 • Start - Up"]), (-7, ["Page 3 of Pumps", "x"])]
 
 
 def footer_title_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Q.footer_facts(V.literal(spark, "id long, lines array<string>", _TITLED))
+    """Titles of footers: the lines of documents, three at a time, beside some written ones."""
+    three = V.lines(spark, sf_dir).groupBy((F.col("doc_id") * 100_000 + F.expr("line_no div 3")).alias("id")).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("w"))
+    found = Q.footer_facts(three.select("id", F.col("w.line").alias("lines")).union(V.literal(spark, "id long, lines array<string>", _TITLED)))
     return found.select("id", "title", "month_year", "has_signal")
 
 
-TITLE_SQL = "with " + V.values("x", "id long, title string, month_year string, has_signal boolean", _TITLED_OUT) + " select * from x"
+_DATED = rf"(?i)\b(?:{_MON})\s+\d{{4}}\b"
+_PAGED, _COPIED, _NUMBERED = r"(?i)\bpage\s+\d+\b", r"^[©Â]\s*\d{4}", r"(?i)\bMDE-[A-Z0-9-]+\b"
+_LONGEST = "list_filter({0}, lambda x: length(x) = list_max(list_transform({0}, lambda y: length(y))))[1]"
+TITLE_SQL = V.with_views("v_lines", V.values("fixed", "id long, lines array<string>", _TITLED) + rf""",
+al as (select doc_id * 100000 + line_no // 3 as id, list(line order by line_no) as lines from v_lines group by 1 union all select id, lines from fixed),
+p as (select id, lines, list_filter(lines, lambda x: regexp_matches(x, '{_NUMBERED}')) as ns,
+  list_filter(lines, lambda x: not regexp_matches(x, '{_DATED}') and not regexp_matches(x, '(?i)^page\s+\d+$') and regexp_matches(x, '[A-Za-z]') and not regexp_matches(x, '(?i)^(note|warning|caution|danger):')) as ts from al),
+q as (select id, lines, case when len(ns) > 0 then ns[1] when len(ts) > 0 then {_LONGEST.format("ts")} else coalesce({_LONGEST.format("lines")}, '') end as pick from p),
+c as (select id, lines, regexp_replace(regexp_replace(regexp_replace(pick, '{_DATED}', '', 'g'), '{_PAGED}', '', 'g'), '[·•]+', ' ', 'g') as t from q)
+select id, trim(regexp_replace(replace(replace(t, '|', ' '), ' - ', ' '), '\s+', ' ', 'g')) as title, nullif(regexp_extract(array_to_string(lines, ' | '), '{_DATED}', 0), '') as month_year,
+  len(list_filter(lines, lambda x: regexp_matches(x, '{_DATED}') or regexp_matches(x, '{_NUMBERED}') or regexp_matches(x, '{_PAGED}') or regexp_matches(x, '{_COPIED}'))) > 0 as has_signal from c""")
 
 _F14 = [(-1, 1, "March 2024", True), (-1, 2, "March 2024", True), (-2, 1, "April 2024", True), (-3, 1, "February 2024", True), (-4, 1, "Sept 2024", True), (-5, 1, "March 2024", True), (-5, 2, "April 2024", True), (-6, 1, None, False), (-7, 1, "March 2024", True), (-7, 2, None, True), (-8, 1, "mar 2024", True)]
 _F_SCHEMA = "doc_id long, page_no int, month_year string, has_signal boolean"
@@ -79,11 +90,13 @@ _SPELT = [(1, "MDE-1A Manual Marhc 2024"), (2, "Guide 2024"), (3, "Septembr 2023
 
 
 def month_misspelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.literal(spark, "id long, text string", _SPELT).select("id", Q.near_month(F.col("text")).alias("found"))
+    """Nearly spelt months in footers of orders, whose month names lose a letter by a rule, beside written ones."""
+    name, at = F.date_format("o_orderdate", "MMMM"), (F.col("o_orderkey") % 8 + 1).cast("int")
+    spelt = F.concat(F.substr(name, F.lit(1), at - 1), F.substr(name, at + 1))
+    footers = V.table(spark, sf_dir, "orders").select((-F.col("o_orderkey")).alias("id"), F.concat(F.lit("Guide "), spelt, F.date_format("o_orderdate", " yyyy"), F.lit(" Page 3")).alias("text"))
+    return footers.union(V.literal(spark, "id long, text string", _SPELT)).select("id", Q.near_month(F.col("text")).alias("found"))
 
 
-SPELT_SQL = "with " + V.values("x", "id long, found string", [(1, "Marhc 2024"), (2, None), (3, "Septembr 2023"), (4, None), (5, "Augst 2020")]) + " select * from x"
-
 _TOC = [(1, 0, 1, " Pump Guide "), (1, 1, 2, "x"), (2, 0, 2, "Only second"), (3, 0, 1, "Other"), (4, 0, 1, "Valve"), (6, 0, 1, "—")]
 _TOC_FOOT = [(1, 1, "The Pump Guide", True), (1, 2, "Else", True), (1, 3, "The Pump Guide", True), (2, 1, "only second level", True), (3, 1, "Guide", True), (4, 1, "Valve", False), (5, 1, "x", True), (6, 1, "a", True), (1, 4, "Else", True), (1, 5, "", True)]
 
@@ -183,44 +196,13 @@ notices as (select doc_id, count(*) filter (bl) as n_blank, count(*) filter (bl
 NOTICE_SQL = V.with_views("v_lines", _DOC_PAGES + ", " + _NOTICE + " select * from notices")
 
 
-def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _doc_pages(spark, sf_dir)
-    docs = pages.select("doc_id").distinct()
-    quotes = docs.join(Q.straight_quotes(pages).select("doc_id").distinct().withColumn("q", F.lit(True)), "doc_id", "left")
-    none = docs.select("doc_id", F.lit("brand_logo").alias("check_id"), F.lit("not_checked").alias("status"))
-    return (
-        quotes.select("doc_id", F.lit("straight_quotes").alias("check_id"), F.when(F.col("q"), "warn").otherwise("pass").alias("status")).union(none)
-        .union(Q.even_pages(pages).select("doc_id", F.lit("even_page_count"), "status")).union(Q.blank_notices(pages).select("doc_id", F.lit("blank_page_notice"), "status"))
-    )
-
-
-def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quality pipeline's checks on documents, in the report's order."""
-    order = F.array_position(F.array(*[F.lit(c) for c in Q.CHECKS]), F.col("check_id"))
-    return _checks(spark, sf_dir).select("doc_id", order.alias("check_no"), "check_id", "status")
-
-
-_CHECKS_SQL = _DOC_PAGES + ", " + _NOTICE + """, checks as (
-  select doc_id, 4 as check_no, 'straight_quotes' as check_id, case when bool_or(regexp_matches(text, '["'']')) then 'warn' else 'pass' end as status from v_pages group by 1
-  union all select distinct doc_id, 3, 'brand_logo', 'not_checked' from v_pages
-  union all select doc_id, 7, 'even_page_count', case when count(*) % 2 = 0 then 'pass' else 'fail' end from v_pages group by 1
-  union all select doc_id, 8, 'blank_page_notice', status from notices)"""
-CHECKS_SQL = V.with_views("v_lines", _CHECKS_SQL + " select doc_id, cast(check_no as bigint) as check_no, check_id, status from checks")
-
-
-def overall_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.overall(_checks(spark, sf_dir))
-
-
-OVERALL_SQL = V.with_views("v_lines", _CHECKS_SQL + """ select doc_id, ['pass', 'not_checked', 'warn', 'fail'][max(case status when 'pass' then 1 when 'not_checked' then 2 when 'warn' then 3 else 4 end)] as status,
-  count(*) filter (status in ('fail', 'warn')) as n_flagged, count(*) as n_checks from checks group by 1""")
-
-
 def text_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.too_short(V.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 GUARD_SQL = """select doc_id, cast(sum(length(trim(text, E' \\n'))) as bigint) as n_chars, case when sum(length(trim(text, E' \\n'))) < 50 then 'no text layer' end as error from documents group by 1"""
 
-QUERIES = {f.__name__: f for f in (normalize_text, quote_counts, footer_lines, footer_title_pick, footer_consistency, month_misspelling, bookmark_match, brand_detect, watermark_spans, change_bars, even_pages, blank_notice, quality_checks, overall_status, text_guard)}
-ORACLES = dict(zip(QUERIES, (NORM_SQL, QUOTE_SQL, FOOTER_SQL, TITLE_SQL, CONSISTENCY_SQL, SPELT_SQL, BOOKMARK_SQL, BRAND_SQL, WATERMARK_SQL, BAR_SQL, EVEN_SQL, NOTICE_SQL, CHECKS_SQL, OVERALL_SQL, GUARD_SQL), strict=True))
+QUERIES = {f.__name__: f for f in (normalize_text, quote_counts, footer_lines, footer_title_pick, footer_consistency, bookmark_match, brand_detect, watermark_spans, change_bars, even_pages, blank_notice, text_guard)}
+ORACLES = dict(zip(QUERIES, (NORM_SQL, QUOTE_SQL, FOOTER_SQL, TITLE_SQL, CONSISTENCY_SQL, BOOKMARK_SQL, BRAND_SQL, WATERMARK_SQL, BAR_SQL, EVEN_SQL, NOTICE_SQL, GUARD_SQL), strict=True))
+#: The likeness of words that decides here has no counterpart in SQL; tests hold it against plain Python.
+QUERIES["month_misspelling"] = month_misspelling

@@ -182,16 +182,30 @@ DEDUP_SQL = """with f as (select p_partkey % 50 as doc_id, p_partkey as seq, tri
 r as (select *, row_number() over (partition by doc_id, stem order by seq) - 1 as n from f)
 select doc_id, seq, stem || case when n = 0 then '' else '_' || n end || '.png' as name from r"""
 
-_INLINE = [(1, "Meteor__TM__reg__ system", False), (2, "The Foo__TM__tm__", False), (3, "__BOLD__Total", False), (4, "__BOLD_START__ A __BOLD_END__ b", False), (5, "a __ITALIC_START__ i __ITALIC_END__ z", True), (6, "__BOLD_START__ x __ITALIC_START__ y __BOLD_END__ q__TM__reg__ r", False), (7, "a < b & c", False), (8, "", False), (9, "A__TM__reg__B__TM__tm__", True)]
+_INLINE = [(-1, "Meteor__TM__reg__ system", False), (-2, "The Foo__TM__tm__", False), (-3, "__BOLD__Total", False), (-4, "__BOLD_START__ A __BOLD_END__ b", False), (-5, "a __ITALIC_START__ i __ITALIC_END__ z", True), (-6, "__BOLD_START__ x __ITALIC_START__ y __BOLD_END__ q__TM__reg__ r", False), (-7, "a < b & c", False), (-8, "", False), (-9, "A__TM__reg__B__TM__tm__", True)]
 
 
 def inline_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = V.literal(spark, "id long, text string, bold boolean", _INLINE)
-    return found.select("id", P.inline_xml(F.col("text"), F.col("bold")).alias("xml"))
-
-
-_INLINE_OUT = [(1, '<tm tmtype="reg">Meteor</tm> system'), (2, 'The <tm tmtype="tm">Foo</tm>'), (3, "<b>Total</b>"), (4, "<b> A </b> b"), (5, "<b>a <i> i </i> z</b>"), (6, '<b> x y </b> <tm tmtype="reg">q</tm> r'), (7, "a &lt; b &amp; c"), (8, ""), (9, '<b><tm tmtype="reg">A</tm><tm tmtype="tm">B</tm></b>')]
-INLINE_SQL = "with " + V.values("x", "id long, xml string", _INLINE_OUT) + " select id, xml from x"
+    """Marks in lines of documents, put there by place, and in some written ones, as XML."""
+    k = (F.col("doc_id") + F.col("line_no")) % 5
+    marked = (
+        F.when(k == 0, F.concat(F.lit("__BOLD_START__ "), "line", F.lit(" __BOLD_END__ end"))).when(k == 1, F.concat(F.lit("so __ITALIC_START__ "), "line", F.lit(" __ITALIC_END__")))
+        .when(k == 2, F.concat("line", F.lit("__TM__reg__ it"))).when(k == 3, F.concat(F.lit("__BOLD__"), "line")).otherwise(F.col("line"))
+    )
+    found = V.lines(spark, sf_dir).select((F.col("doc_id") * 100_000 + F.col("line_no")).alias("id"), marked.alias("text"), (F.col("line_no") % 3 == 0).alias("bold"))
+    return found.union(V.literal(spark, "id long, text string, bold boolean", _INLINE)).select("id", P.inline_xml(F.col("text"), F.col("bold")).alias("xml"))
+
+
+INLINE_SQL = V.with_views("v_lines", V.values("fixed", "id long, text string, bold boolean", _INLINE) + r""",
+al as (select doc_id * 100000 + line_no as id, case (doc_id + line_no) % 5 when 0 then '__BOLD_START__ ' || line || ' __BOLD_END__ end' when 1 then 'so __ITALIC_START__ ' || line || ' __ITALIC_END__'
+    when 2 then line || '__TM__reg__ it' when 3 then '__BOLD__' || line else line end as text, line_no % 3 = 0 as bold from v_lines union all select * from fixed),
+e as (select id, text, starts_with(text, '__BOLD__') or bold as w, replace(replace(replace(case when starts_with(text, '__BOLD__') then text[9:] else text end, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as t from al),
+p as (select id, text, w, case when contains(t, '__BOLD_START__') then replace(replace(regexp_replace(t, '__ITALIC_(START|END)__\s*', '', 'g'), '__BOLD_START__', '<b>'), '__BOLD_END__', '</b>')
+    when contains(t, '__ITALIC_START__') then replace(replace(regexp_replace(t, '__BOLD_(START|END)__\s*', '', 'g'), '__ITALIC_START__', '<i>'), '__ITALIC_END__', '</i>') else t end as t from e),
+m as (select *, string_split(t, ' ') as ws from p),
+n as (select id, text, w, array_to_string(list_transform(ws, lambda x: case when contains(x, '__TM__') then
+    array_to_string(list_transform(regexp_extract_all(x, '.*?__TM__[a-z]+__'), lambda y: '<tm tmtype="' || regexp_extract(y, '__TM__([a-z]+)__', 1) || '">' || regexp_extract(y, '^(.*?)__TM__', 1) || '</tm>'), '') || regexp_replace(x, '^.*__TM__[a-z]+__', '') else x end), ' ') as marked, t from m)
+select id, case when text = '' then '' when contains(text, '__BOLD_START__') then marked when contains(text, '__ITALIC_START__') then case when w then '<b>' || t || '</b>' else t end when w then '<b>' || marked || '</b>' else marked end as xml from n""")
 
 _ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _W = "case when {1} = '' then '<{0}/>' else '<{0}>' || {1} || '</{0}>' end"

@@ -58,10 +58,13 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marks on pages, from ``events``: page, integer y, width and an ordinal."""
+    """Marks on pages, from ``events``: a user's events are five pages; whole y, x0, width, height, an ordinal."""
     found = table(spark, sf_dir, "events")
     minute = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60)
-    return found.select(F.col("event_id").cast("long").alias("id"), F.expr("cast(user_id % 5 as int)").alias("page_no"), minute.alias("y"), F.col("event_type").alias("kind"), F.col("value").cast("double").alias("width"))
+    return found.select(
+        F.col("event_id").cast("long").alias("id"), F.expr("cast(user_id div 5 as long)").alias("doc_id"), F.expr("cast(user_id % 5 as int)").alias("page_no"), minute.alias("y"),
+        F.col("event_type").alias("kind"), F.col("value").cast("double").alias("width"), F.expr("cast(event_id % 200 as double)").alias("x0"), F.expr("cast(event_id % 9 as double)").alias("height"),
+    )
 
 
 def footers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +99,8 @@ v_words as (
   from (select *, (doc_id * 31 + line_no * 17) % 20 as k,
       sum(6 * length(text) + 3) over (partition by doc_id, line_no order by word_seq) as e from v_tokens where text <> ''))""",
     "v_spans": r"""v_spans as (
-  select cast(event_id as bigint) as id, cast(user_id % 5 as int) as page_no, cast(floor(epoch(ts) / 60) as bigint) as y, event_type as kind, cast(value as double) as width from events)""",
+  select cast(event_id as bigint) as id, cast(user_id // 5 as bigint) as doc_id, cast(user_id % 5 as int) as page_no, cast(floor(epoch(ts) / 60) as bigint) as y,
+    event_type as kind, cast(value as double) as width, (event_id % 200)::double as x0, (event_id % 9)::double as height from events)""",
     "v_footers": r"""v_footers as (
   select cast(o_custkey as bigint) as doc_id, row_number() over (partition by o_custkey order by o_orderkey) as page_no,
     case when o_orderkey % 7 <> 0 then strftime(o_orderdate, '%B %Y') end as month_year, true as has_signal from orders)""",

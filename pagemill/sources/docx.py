@@ -99,6 +99,11 @@ def blocks(parts: DataFrame) -> DataFrame:
     return main.unionByName(images)
 
 
+def errors(parts: DataFrame) -> DataFrame:
+    """doc_id, error of the files that could not be read."""
+    return parts.where("error is not null").select("doc_id", "error")
+
+
 def write_docx(paragraphs: list[tuple[str, str]], tables: list[list[list[str]]] = ()) -> bytes:
     """A small DOCX of (style, text) paragraphs and tables, the same bytes for the same content."""
     from xml.sax.saxutils import escape, quoteattr

@@ -13,28 +13,60 @@ from pyspark.sql import functions as F
 from pagemill.operators import topics as P
 
 
-def archives(topics: DataFrame, title: object = None) -> DataFrame:
-    """doc_id, n_files, content: a ZIP of each document's topics and their map.
+def _zip(files: list[tuple[str, bytes | str]]) -> bytes:
+    """The same bytes for the same files."""
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as file:
+        for name, content in files:
+            file.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content)
+    return data.getvalue()
 
-    For a selection, pass its topics: the map lists just those.  Equal topics give equal bytes.
+
+def archives(topics: DataFrame, title: object = None, media: DataFrame | None = None, selected: bool = False) -> DataFrame:
+    """doc_id, n_files, content: a ZIP of each document's topics, their map and its media.
+
+    ``media`` is (doc_id, href, content) with hrefs like ``media/x.png``; all of a document's
+    go in.  For a selection, pass its topics and ``selected``: the map lists just those and its
+    title and file name say so.
     """
     name = F.col("doc_id").cast("string") if title is None else title
-    maps = P.maps(topics, name).select("doc_id", F.col("xml").alias("map"))
+    maps = P.maps(topics, F.concat(name, F.lit(" (selection)")) if selected else name).select("doc_id", F.col("xml").alias("map"))
     files = topics.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("topic_no", "filename", "xml"))).alias("files")).join(maps, "doc_id")
+    empty = F.array().cast("array<struct<href:string,content:binary>>")
+    if media is None:
+        files = files.withColumn("media", empty)
+    else:
+        own = media.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("href", "content"))).alias("media"))
+        files = files.join(own, "doc_id", "left").withColumn("media", F.coalesce("media", empty))
+    listing_name = f"document{'_selection' if selected else ''}.ditamap"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for files, listing in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data = io.BytesIO()
-                with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as file:
-                    for f in files:
-                        file.writestr(zipfile.ZipInfo(f["filename"], (1980, 1, 1, 0, 0, 0)), f["xml"])
-                    file.writestr(zipfile.ZipInfo("document.ditamap", (1980, 1, 1, 0, 0, 0)), listing)
-                out.append(data.getvalue())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) + 1 for x in batch.column(1).to_pylist()], pa.int32()), pa.array(out, pa.binary())], ["doc_id", "n_files", "content"])
-
-    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "files", "map").mapInArrow(run, "doc_id long, n_files int, content binary")
+            for k in range(batch.num_rows):
+                doc, topics_of, listing, images = (batch.column(c)[k].as_py() for c in range(4))
+                held = [(f["filename"], f["xml"]) for f in topics_of] + [(listing_name, listing)] + [(m["href"], m["content"]) for m in images]
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([len(held)], pa.int32()), pa.array([_zip(held)], pa.binary())], ["doc_id", "n_files", "content"])
+
+    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "files", "map", "media").mapInArrow(run, "doc_id long, n_files int, content binary")
+
+
+def image_archives(images: DataFrame) -> DataFrame:
+    """group_id, n_files, content: a ZIP of the images (group_id, name, content) of each group; null contents are left out."""
+    files = images.where("content is not null").groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("name", "content"))).alias("files"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                held = [(f["name"], f["content"]) for f in batch.column(1)[k].as_py()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([len(held)], pa.int32()), pa.array([_zip(held)], pa.binary())], ["group_id", "n_files", "content"])
+
+    return files.select(F.col("group_id").cast("long").alias("group_id"), "files").mapInArrow(run, "group_id long, n_files int, content binary")
+
+
+def trace(checks: DataFrame) -> DataFrame:
+    """doc_id, line_no, message: the log lines of a document's checks, in order, for a log file or table."""
+    message = F.concat(F.lit("[QUALITY] "), F.col("check_id"), F.lit(": "), F.col("status"))
+    return checks.select("doc_id", F.col("check_no").cast("int").alias("line_no"), message.alias("message"))
 
 
 def save_files(files: DataFrame, folder: str) -> int:

@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.functions import text
 from pagemill.functions import text as T
-from pagemill.operators import figures, images, lines, mapping, quality, topics, validate
+from pagemill.operators import figures, images, lines, mapping, pages, quality, tables, topics, validate
 from pagemill.sources import docx, rules, schemas, sinks
 from pagemill.streaming import arrivals
 
@@ -114,3 +115,76 @@ def test_arrivals_equal_the_batch(spark, tmp_path):
     assert sorted(r.xml for r in streamed.collect()) == sorted(r.xml for r in batch.collect()) and streamed.count() == 3
     again = sinks.save_files(batch.select("filename", F.col("xml").alias("content")).withColumnRenamed("filename", "name"), f"file://{tmp_path}/files")
     assert again == 3 and len(list((tmp_path / "files").iterdir())) == 3
+
+
+def test_marks_of_two_documents_on_one_page_stay_apart(spark):
+    marks = spark.createDataFrame([(1, 3, 10, 100), (2, 3, 11, 102), (2, 3, 12, 400)], "doc_id long, page_no int, id long, y long")
+    numbered = lines.number_sessions(marks)
+    assert sorted((r.doc_id, r.y, r.number) for r in numbered.collect()) == [(1, 100, 1), (2, 102, 1), (2, 400, 1)]
+    places = spark.createDataFrame([(1, 3, 1, 101, "paragraph", None), (2, 3, 2, 101, "paragraph", None), (3, 3, 3, 101, "paragraph", None), (2, 3, 4, 101, "heading", None)], "doc_id long, page_no int, id long, y long, type string, list_kind string")
+    found = {r.id: (r.type, r.list_kind, r.num) for r in lines.number_steps(places, numbered).collect()}
+    assert found == {1: ("list_item", "numbered", 1), 2: ("list_item", "numbered", 1), 3: ("paragraph", None, None), 4: ("heading", None, None)}
+    links = marks.withColumn("uri", F.concat(F.lit("u"), "doc_id"))
+    assert {r.id: r.href for r in lines.attach_links(places, links).collect()} == {1: "u1", 2: "u2", 3: None, 4: None}
+
+
+def test_paragraphs_show_links_marks_and_paths(spark):
+    rows = [
+        (1, 0, "heading", 1, None, None, "T", None, None, None), (1, 1, "paragraph", 0, None, None, "short", None, None, None),
+        (1, 2, "paragraph", 0, None, None, "write to me", None, "write __BOLD_START__ to __BOLD_END__ me", "mailto:a@b.c"), (1, 3, "paragraph", 0, None, None, "see > it", None, None, "https://x.y/?a=1&b=2"),
+        (1, 4, "paragraph", 0, None, None, "Choose File > Save now", None, "Choose __BOLD_START__ File > Save __BOLD_END__ now", None),
+    ]
+    blocks = spark.createDataFrame(rows, BLOCK + ", marked string, href string")
+    xml = topics.render(mapping.split_paths(mapping.map_blocks(blocks))).head().xml
+    assert '<p><xref href="mailto:a@b.c" scope="external" format="email"/>write <b> to </b> me</p>' in xml
+    assert "<p>Choose</p><p><menucascade><uicontrol>File</uicontrol><uicontrol>Save</uicontrol></menucascade></p>" in xml
+    assert '<shortdesc>short</shortdesc>' in xml
+    ElementTree.fromstring(xml.split("\n", 2)[2])
+    page = pages.badge(F.col("xml"))
+    assert spark.createDataFrame([(xml,), ("<task><title/></task>",), ("<task>",)], "xml string").select(page).collect()[1:] == [("task",), ("topic",)]
+
+
+def test_tables_by_rules_span_heads_and_retry_columns(spark):
+    rules = [(1, 0, 0.0, 520.0, float(t), t + (2.0 if t <= 140 else 0.5)) for t in (100, 120, 140, 160, 180)]
+    words = [
+        (1, 0, 0, "Whole", 300.0, 340.0, 105.0, "ArialMT", 11.0), (1, 0, 1, "A", 10.0, 70.0, 125.0, "ArialMT", 11.0), (1, 0, 2, "B", 110.0, 170.0, 125.0, "Arial-BoldMT", 11.0),
+        (1, 0, 3, "x", 10.0, 70.0, 145.0, "ArialMT", 11.0), (1, 0, 4, "®", 72.0, 75.0, 145.0, "ArialMT", 5.0), (1, 0, 5, "y", 110.0, 170.0, 145.0, "ArialMT", 11.0), (1, 0, 6, "far", 10.0, 70.0, 400.0, "ArialMT", 11.0),
+    ]
+    w = spark.createDataFrame(words, "doc_id long, page_no int, word_seq int, text string, x0 double, x1 double, top double, fontname string, size double")
+    r = spark.createDataFrame(rules, "doc_id long, page_no int, x0 double, x1 double, top double, bottom double")
+    assert tables.borderless(w, r).head().rows == [["Whole", "__STRADDLE__2"], ["A", "__BOLD__B"], ["x__TM__reg__", "y"]]
+    assert tables.borderless(w.limit(0), r).count() == 0 and tables.borderless(w, r.limit(0)).count() == 0
+
+
+def test_nearly_spelt_months_are_those_of_difflib(spark):
+    import difflib
+    import re
+
+    texts = ["Marhc 2024", "Guide 2024 Augst 2020", "Jne 1999", "no month", "Aprl 12 May 20201", "sep 2020", "Febuary  2021"]
+    months = [m for m in text.MONTHS.split("|")]
+    wanted = [next((m[0] for m in re.finditer(r"\b([a-z]{3,12})\s+(\d{4})\b", t, re.I) if difflib.get_close_matches(m[1].lower(), months, n=1, cutoff=0.8)), None) for t in texts]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", quality.near_month(F.col("t")).alias("m")).orderBy("i").collect()
+    assert [r.m for r in found] == wanted
+
+
+def test_figure_crop_and_flattening():
+    pixels = np.full((40, 50, 3), 240, np.uint8)
+    pixels[20:22, 30:33] = (255, 255, 200)
+    assert images.read_png(images.figure_crop(images.write_png(pixels))).shape == (14, 15, 3)
+    assert images.figure_crop(images.write_png(np.full((5, 5, 3), 230, np.uint8))) == images.write_png(np.full((5, 5, 3), 230, np.uint8))
+    half = np.array([[[0, 0, 0, 128]]], np.uint8)
+    assert images.flatten(half, "jpeg").tolist() == [[[127, 127, 127]]] and images.flatten(half, "png").shape == (1, 1, 4) and images.flatten(half, "webp").tolist() == [[[0, 0, 0]]]
+
+
+def test_selections_hold_their_media(spark):
+    found = [block(1, 0, "heading", "A", 1), block(1, 1, "paragraph", "p"), block(1, 2, "heading", "B", 1), block(1, 3, "paragraph", "q")]
+    done = topics.render(mapping.map_blocks(spark.createDataFrame(found, BLOCK)))
+    media = spark.createDataFrame([(1, "media/a.png", bytearray(b"x")), (9, "media/b.png", bytearray(b"y"))], "doc_id long, href string, content binary")
+    with zipfile.ZipFile(io.BytesIO(sinks.archives(done.where("topic_no = 1"), media=media, selected=True).head().content)) as file:
+        assert sorted(file.namelist()) == ["b.dita", "document_selection.ditamap", "media/a.png"]
+        assert b"(selection)" in file.read("document_selection.ditamap")
+
+
+def test_unreadable_files_are_error_rows(spark):
+    files = spark.createDataFrame([(1, bytearray(b"no zip")), (2, bytearray(docx.write_docx([("", "ok text")])))], "doc_id long, content binary")
+    assert [r.doc_id for r in docx.errors(docx.parse(files)).collect()] == [1]
