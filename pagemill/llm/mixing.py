@@ -4,7 +4,7 @@ The rates r_d nearest (in relative entropy) to one copy of each document, whose
 meet ``sum(r_d * size_d) = target`` for every source, have the form
 ``r_d = min(cap, exp(lambda_source * size_d))``.  The convex dual in the lambdas is solved by
 Newton steps; each step is one aggregation over the (source, size) histogram, which is the
-dual's sufficient statistic, and one row a source reaches the driver.  Rates are rounded
+dual's sufficient statistic, and no source reaches the driver.  Rates are rounded
 into whole copies from the largest size down, each size making up what the larger ones
 left over, so a source misses its target by about half its smallest document at most.
 
@@ -63,42 +63,40 @@ def rate(tilt: Column, size: Column, cap: float) -> Column:
     return F.least(F.lit(float(cap)), F.exp(F.least(tilt * size, F.lit(700.0))))
 
 
-def tilts(cells: DataFrame, sources: list, cap: float = CAP, accuracy: float = 1e-10, rounds: int = 100) -> dict:
-    """The dual's solution: a tilt for each source, found for all sources together.
+_STATE = [*_KEYS, "source_size", "target", "tilt", "low", "high", "scale", "done"]
 
-    A Newton step that leaves the bracket known to hold the solution is replaced by the
-    bracket's middle, so capped documents, where the dual is flat, do no harm.
+
+def tilts(cells: DataFrame, sources: DataFrame, cap: float = CAP, accuracy: float = 1e-10, rounds: int = 100) -> DataFrame:
+    """no_source, source_key, source_size, target, tilt: the dual's solution, found for all sources together.
+
+    Each round is one aggregation of the histogram and one table of a row a source; only
+    whether any source goes on reaches the driver.  A Newton step that leaves the bracket
+    known to hold the solution is replaced by the bracket's middle, so capped documents,
+    where the dual is flat, do no harm.  Sources at their cap tilt without bound.
     """
-    spark = cells.sparkSession
-    state, done = {}, {}
-    for s in sources:
-        key, scale = (s.no_source, s.source_key), s.source_size / max(1, s.n)
-        if s.source_size == 0 or s.target >= cap * s.source_size * (1 - 1e-12):
-            done[key] = math.inf
-        elif s.target <= 0:
-            done[key] = -math.inf
-        else:
-            state[key] = [0.0, -math.inf, math.inf, s.target, scale]
+    full = (F.col("source_size") == 0) | (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12))
+    start = F.when(full, F.lit(math.inf)).when(F.col("target") <= 0, F.lit(-math.inf)).otherwise(0.0)
+    none = F.lit(None).cast("double")
+    state = sources.withColumns({"tilt": start, "low": none, "high": none, "scale": F.col("source_size") / F.greatest(F.lit(1), F.col("n")), "done": full | (F.col("target") <= 0)})
+    state = written(narrow(state.select(*_STATE)), "tilts")
+    tilt, target = F.col("tilt"), F.col("target")
+    r, tokens = rate(tilt, F.col("size"), cap), F.col("n") * F.col("size")
+    slope = F.when(r < cap, tokens * F.col("size") * r).otherwise(0.0)
+    miss = target - F.col("got")
+    close = (F.abs(miss) <= accuracy * target) | F.coalesce(F.col("high") - F.col("low") <= 1e-15 * F.greatest(F.abs("low"), F.abs("high")), F.lit(False))
+    low, high = F.when(miss > 0, tilt).otherwise(F.col("low")), F.when(miss > 0, F.col("high")).otherwise(tilt)
+    step = F.when(F.col("slope") > 0, tilt + miss / F.col("slope"))
+    inside = step.isNotNull() & F.coalesce(step > low, F.lit(True)) & F.coalesce(step < high, F.lit(True))
+    middle = F.coalesce((low + high) / 2, 2 * tilt + F.signum(miss) / F.col("scale"))
     for _ in range(rounds):
-        if not state:
+        if not state.where("not done").limit(1).count():
             break
-        now = spark.createDataFrame([(*k, v[0]) for k, v in sorted(state.items())], "no_source boolean, source_key string, tilt double")
-        r, tokens = rate(F.col("tilt"), F.col("size"), cap), F.col("n") * F.col("size")
-        slope = F.when(r < cap, tokens * F.col("size") * r).otherwise(0.0)
-        for row in cells.join(now, _KEYS).groupBy(*_KEYS).agg(F.sum(tokens * r).alias("got"), F.sum(slope).alias("slope")).collect():
-            key = (row.no_source, row.source_key)
-            tilt, low, high, target, scale = state[key]
-            miss = target - row.got
-            if abs(miss) <= accuracy * target or (math.isfinite(low) and math.isfinite(high) and high - low <= 1e-15 * max(abs(low), abs(high))):
-                done[key] = tilt
-                del state[key]
-                continue
-            low, high = (tilt, high) if miss > 0 else (low, tilt)
-            step = tilt + miss / row.slope if row.slope > 0 else math.nan
-            if not low < step < high:
-                step = (low + high) / 2 if math.isfinite(low + high) else 2 * tilt + math.copysign(1 / scale, miss)
-            state[key] = [step, low, high, target, scale]
-    return done | {k: v[0] for k, v in state.items()}
+        sums = cells.join(state.where("not done").select(*_KEYS, "tilt"), _KEYS).groupBy(*_KEYS).agg(F.sum(tokens * r).alias("got"), F.sum(slope).alias("slope"))
+        joined = state.join(sums, _KEYS, "left")
+        moved = F.when(F.col("done") | close, tilt).when(inside, step).otherwise(middle)
+        after = {"tilt": moved, "low": F.when(F.col("done"), F.col("low")).otherwise(low), "high": F.when(F.col("done"), F.col("high")).otherwise(high), "done": F.col("done") | close}
+        state = written(narrow(joined.select(*[after.get(c, F.col(c)).alias(c) for c in _STATE])), "tilts")
+    return state.select(*_STATE[:5])
 
 
 _ROUNDED = "no_source boolean, source_key string, size long, n long, copies long"
@@ -132,13 +130,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -
     rows = written(narrow(sized(docs)), "sizes")
     cells = written(narrow(rows.groupBy(*_KEYS, "size").agg(F.count("*").alias("n"))), "cells")
     sources = cells.groupBy(*_KEYS).agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n"))
-    sources = targets(sources, weights, cap)
-    spark, known = docs.sparkSession, sources.collect()  # one row a source
-    found = tilts(cells, known, cap)
-    table_of = spark.createDataFrame(
-        [(s.no_source, s.source_key, s.source_size, float(s.target), float(found[s.no_source, s.source_key])) for s in known],
-        "no_source boolean, source_key string, source_size long, target double, tilt double",
-    )
+    spark = docs.sparkSession
+    table_of = tilts(cells, targets(sources, weights, cap), cap)
     fixed = F.when(F.col("tilt") == F.lit(math.inf), F.lit(float(cap))).when(F.col("tilt") == F.lit(-math.inf), F.lit(0.0)).otherwise(rate(F.col("tilt"), F.col("size"), cap))
     rates = cells.join(table_of, _KEYS).select(*_KEYS, "size", "n", fixed.alias("rate"))
     ordered = rates.repartition(tasks(spark), *_KEYS).sortWithinPartitions(*_KEYS, F.desc("size"))

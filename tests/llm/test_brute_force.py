@@ -205,6 +205,107 @@ def test_pieces_follow_the_lattice():
     assert again[-counts[17] :].tolist() == ids[counts[:17].sum() : counts[:18].sum()].tolist()
 
 
+@pytest.mark.parametrize("word", ["größe", "a1", "aaaa", "日本", "th\u0000e", "é"])
+def test_pieces_of_odd_words_follow_the_lattice(word):
+    """Every segmentation into pieces and bytes, as often as its weights say."""
+    v = pieces.load()
+    ranks = {v.piece[i]: r for r, i in enumerate(sorted({i for i, p in enumerate(v.piece) if p and not (len(p) == 1 and i < 259)}))}
+    chances = defaultdict(float)
+
+    def walk(rest, done, p):
+        if not rest:
+            chances[tuple(done)] += p
+        for n in range(1, len(rest) + 1):
+            own = rest[:n]
+            if n == 1 or own in ranks:
+                walk(rest[n:], [*done, own], p * (v.single_weight[own[0]] if n == 1 else (ranks[own] + 2.0) ** -pieces.ALPHA))
+
+    data = word.encode()
+    walk(b" " + data, [], 1.0)
+    total, n = sum(chances.values()), 10_000
+    ids, counts = pieces.encode(v, [data] * n, np.arange(n))
+    seen, at = defaultdict(int), 0
+    for c in counts:
+        seen[tuple(v.piece[i] for i in ids[at : at + c])] += 1
+        at += c
+    assert set(seen) <= set(chances)
+    for way, p in chances.items():
+        p /= total
+        assert abs(seen[way] / n - p) < 5.5 * (p * (1 - p) / n) ** 0.5 + 1e-3, way
+
+
+def plain_score(model, text):
+    """A text's toxicity, word by word and window by window."""
+    own = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), w.encode()) for w in words(text)]
+    sums, sizes = [], []
+    for w in own:
+        bucket = toxicity.ngrams([w], toxicity.SIZES, toxicity.BITS)[1]
+        sums.append(float(model.odds[bucket].astype(float).sum()))
+        sizes.append(len(bucket))
+    windows = [(sum(sums[k : k + toxicity.WINDOW]), sum(sizes[k : k + toxicity.WINDOW])) for k in range(max(1, len(own) - toxicity.WINDOW + 1))] if own else [(0.0, 1)]
+    worst, mean = max(a / max(1, b) for a, b in windows), sum(sums) / max(1, sum(sizes))
+    return 1 / (1 + np.exp(-(model.slope * worst + model.whole * mean + model.offset)))
+
+
+def test_toxicity_scores_are_those_of_plain_windows(spark, docs, texts):
+    model = toxicity.learn(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
+    found = {r.doc_id: r.score for r in toxicity.add_score(docs.select("doc_id", "text"), model).collect()}
+    assert found.keys() == texts.keys()
+    assert all(abs(found[i] - plain_score(model, t)) < 1e-5 for i, t in texts.items())
+
+
+def test_language_training_is_plain_ftrl():
+    """Weights against one update a feature at a time, in dictionaries."""
+    rng = random.Random(1)
+    stems = {"x": ["alpha", "beta", "gam"], "y": ["uno", "dos", "tres"], "z": ["ichi", "ni", "san"]}
+    y = [rng.choice("xyz") for _ in range(15)]
+    made = [" ".join(rng.choices(stems[k], k=6)) for k in y]
+    model = langid.train(made, y)
+    names, rows = sorted(set(y)), langid.features(made)
+    df = defaultdict(int)
+    for own, _ in rows:
+        for f in own:
+            df[f] += 1
+    idf = {f: np.log((1 + len(rows)) / (1 + n)) + 1 for f, n in df.items()}
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f, c, l1):
+        return 0.0 if abs(z[f, c]) <= l1 else -(abs(z[f, c]) - l1) * np.sign(z[f, c]) / ((langid.BETA + n[f, c] ** 0.5) / langid.ALPHA + langid.L2)
+
+    order = np.random.default_rng(5)
+    for _ in range(langid.EPOCHS):
+        for i in order.permutation(np.arange(len(rows))):
+            own, share = rows[i]
+            x = {f: s * idf[f] * langid.SCALE for f, s in zip(own, share, strict=True)}
+            w = {(f, c): weight(f, c, langid.L1) for f in x for c in range(3)}
+            b = [weight("bias", c, 0.0) for c in range(3)]
+            score = np.array([b[c] + sum(x[f] * w[f, c] for f in x) for c in range(3)])
+            p = np.exp(score - score.max())
+            p /= p.sum()
+            for c in range(3):
+                miss = p[c] - (names[c] == y[i])
+                for f, value, old in [("bias", 1.0, b[c])] + [(f, x[f], w[f, c]) for f in x]:
+                    g = miss * value
+                    z[f, c] += g - ((n[f, c] + g * g) ** 0.5 - n[f, c] ** 0.5) / langid.ALPHA * old
+                    n[f, c] += g * g
+    for f in df:
+        for c in range(3):
+            assert abs(model.weights[f, c] - weight(f, c, langid.L1) * idf[f] * langid.SCALE) < 1e-3 * (1 + abs(model.weights[f, c]))
+
+
+def test_models_learn_from_long_texts_only(spark):
+    """Rows count whatever their length: two languages of texts of over 20,000 characters, one of them toxic."""
+    rng = random.Random(4)
+    stems = {0: ["haus", "und", "wer", "nicht", "schoen"], 1: ["house", "and", "who", "with", "pretty"]}
+    rows = [(i, " ".join(rng.choices(stems[i % 2], k=5000)), ["de", "en"][i % 2], None, 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r.lang_pred for r in langid.predict(df, langid.learn(df)).collect()}
+    assert found == {i: ["de", "en"][i % 2] for i in range(60)}
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    scored = {r.doc_id: r.score for r in toxicity.add_score(df, toxicity.learn(df, labels)).collect()}
+    assert all((scored[i] >= 0.5) == (i % 2 == 1) for i in range(60))
+
+
 def test_mix_meets_targets(docs, texts):
     found = mixing.mix(docs).toPandas()
     source = {r.doc_id: r.source for r in docs.collect()}
@@ -493,3 +594,61 @@ def test_pipeline_is_its_stages(spark, texts):
     found = corpus_pipeline.run(spark, DIR).collect()
     assert found and all(r.lossless for r in found) and {r.doc_id for r in found} <= set(texts)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "mix_sources", "sentencepiece"]
+
+
+def plain_components(made):
+    """{id: least id of its group} by every pair that shares a shingle."""
+    sets, held, root = {i: shingles(t) for i, t in made.items()}, defaultdict(list), {i: i for i in made}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(sets):
+        for j in {j for x in sets[i] for j in held[x]}:
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for x in sets[i]:
+            held[x].append(i)
+    return {i: find(i) for i in made}
+
+
+def test_pipeline_stages_are_plain_ones(spark, docs, texts):
+    """Each stage on what the one before kept, against plain versions of all five."""
+    import corpus_pipeline
+
+    now, before = docs, {r.doc_id: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, now, DIR)
+        rows = after.collect()
+        own = {i: r.text for i, r in before.items()}
+        if name == "toxicity":
+            model = toxicity.learn(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
+            assert {r.doc_id for r in rows} == {i for i, t in own.items() if plain_score(model, t) < 0.5}
+        elif name == "line_dedup":
+            wanted = line_dedup_by_all_pairs({i: t.split("\n") for i, t in own.items()})
+            same = sum(r.text == "\n".join(wanted[r.doc_id][0]) for r in rows)
+            assert same >= 0.98 * len(rows) and {i for i, t in wanted.items() if words(" ".join(t[0]))} <= {r.doc_id for r in rows} and all(r.n_chars == len(r.text) for r in rows)
+        elif name == "ngram_join":
+            assert {r.doc_id for r in rows} == {i for i, least in plain_components(own).items() if i == least}
+        elif name == "mix_sources":
+            size, total = defaultdict(int), defaultdict(int)
+            for r in before.values():
+                size[r.source] += len(words(r.text))
+            for r in rows:
+                total[r.source] += len(words(r.text))
+            goal = {r.source: r.target for r in mixing.targets(spark.createDataFrame([(s is None, s or "", n, 1) for s, n in size.items()], "no_source boolean, source_key string, source_size long, n long")).selectExpr("source_key source", "target").collect()}
+            assert all(abs(total[s] - goal[s or ""]) <= 0.05 * goal[s or ""] + 50 for s in size)
+            copies = defaultdict(int)
+            for r in rows:
+                copies[r.doc_id] += 1
+                assert r.text == own[r.doc_id]
+            assert max(copies.values()) <= 3
+        else:
+            assert all(r.lossless and r.decoded_sha256 == hashlib.sha256(own[r.doc_id].encode()).hexdigest() for r in rows)
+        if name != "sentencepiece":
+            assert after.columns == docs.columns
+            now, before = spark.createDataFrame(rows, docs.schema), {r.doc_id: r for r in rows}

@@ -137,3 +137,27 @@ def test_stages_keep_columns(spark, tmp_path):
         found.collect()
         assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
     assert stages.encode_pieces(spark, df, str(tmp_path)).count() == len(ROWS)
+
+
+CLASHES = ["kept_text", "n_removed", "n_lines", "line_doc", "line_version", "line_bits", "line_mask", "stage_score", "stage_row", "mixed_doc", "mixed_copies", "own_doc", "row", "copy", "component_id", "n_shingles", "copies", "taken", "size"]
+
+
+@pytest.mark.parametrize("stage", [stages.drop_toxic, stages.drop_repeated_lines, stages.keep_one_of_each_group, stages.mix_sources])
+def test_stages_pass_columns_of_any_name(spark, tmp_path, stage):
+    df = docs(spark, clash=False)
+    for c in CLASHES:
+        df = df.withColumn(c, F.lit(f"own {c}"))
+    spark.createDataFrame([(i, 1, i % 3) for i in range(10)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    found = stage(spark, df, str(tmp_path))
+    rows = found.collect()
+    assert found.columns == df.columns and rows and all(r[c] == f"own {c}" for r in rows for c in CLASHES)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, rows in (("odd", ROWS), ("none", [])):
+        docs(spark, rows, clash=False).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(3)], LABELS).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert all(r.lossless for r in found) and bool(found) == bool(rows)
