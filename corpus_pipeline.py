@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm import stages
-from pagemill.llm.storage import table, written
+from pagemill.llm.storage import free, mark, table, written
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
@@ -22,8 +22,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages in turn; each result is written and read as the next one's input."""
+    """Applies the stages in turn; each result is written and read as the next one's input.
+
+    What a stage wrote besides is deleted once its result is stored.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        since = mark()
         docs = written(stage(spark, docs, sf_dir), name)
+        free(spark, since, keep=(name,))
     return STAGES[-1][1](spark, docs, sf_dir)
