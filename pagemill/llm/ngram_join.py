@@ -57,7 +57,7 @@ SMALL_GROUP = 4
 STAR = 256  # partners that one verification group holds
 SAMPLE = 20_000  # documents whose shingles are counted to estimate costs
 HOT = 200_000  # frequent shingles kept as estimates
-TILE = 1024  # members of a large group that one task compares with as many
+TILE = 256  # members of a large group that one task compares with as many
 _FLUSH = 1_000_000
 _TOKEN = U(10)  # bits of a hash that make room for the row
 _INDEX, _PROBE = 1, 2
