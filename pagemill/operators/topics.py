@@ -267,15 +267,24 @@ def with_unique_names(files: DataFrame, column: str, order: str) -> DataFrame:
     return files.withColumn("name", F.when(n == 0, F.col(column)).otherwise(F.concat(stem, F.lit("_"), n, suffix)))
 
 
+def map_item(kind: str) -> Column:
+    """A topic's entry in a map or bookmap."""
+    href = T.attribute(F.col("filename"))
+    if kind == "bookmap":
+        return F.concat(F.lit('<chapter href="'), href, F.lit('"/>'))
+    of_type = F.when(F.col("root") == "dita", "topic").otherwise(F.col("root"))
+    return F.concat(F.lit('<topicref href="'), href, F.lit('" type="'), of_type, F.lit('"/>'))
+
+
+def map_xml(items: Column, title: Column, kind: str) -> Column:
+    """A map (or bookmap) of entries in order."""
+    head = T.escape(title)
+    top = _wrap("title", head) if kind == "map" else F.concat(F.lit("<booktitle>"), _wrap("mainbooktitle", head), F.lit("</booktitle><bookmeta/>"))
+    begin = F.lit(f'{DECLARATION}\n{DOCTYPES[kind]}\n<{kind} xmlns="{NAMESPACE}" xml:lang="en-US">')
+    return F.concat(begin, top, F.array_join(items, ""), F.lit(f"</{kind}>"))
+
+
 def maps(topics: DataFrame, title: Column, kind: str = "map") -> DataFrame:
     """doc_id, kind, xml: a map (or bookmap) of each document's topics, in order."""
-    if kind == "map":
-        of_type = F.when(F.col("root") == "dita", "topic").otherwise(F.col("root"))
-        item = F.concat(F.lit('<topicref href="'), T.attribute(F.col("filename")), F.lit('" type="'), of_type, F.lit('"/>'))
-    else:
-        item = F.concat(F.lit('<chapter href="'), T.attribute(F.col("filename")), F.lit('"/>'))
-    listed = topics.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("topic_no", item.alias("item")))).alias("w"))
-    items, head = F.array_join(F.col("w.item"), ""), T.escape(title)
-    top = _wrap("title", head) if kind == "map" else F.concat(F.lit("<booktitle>"), _wrap("mainbooktitle", head), F.lit("</booktitle><bookmeta/>"))
-    xml = F.concat(F.lit(f'{DECLARATION}\n{DOCTYPES[kind]}\n<{kind} xmlns="{NAMESPACE}" xml:lang="en-US">'), top, items, F.lit(f"</{kind}>"))
-    return listed.select("doc_id", F.lit(kind).alias("kind"), xml.alias("xml"))
+    listed = topics.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("topic_no", map_item(kind).alias("item")))).alias("w"))
+    return listed.select("doc_id", F.lit(kind).alias("kind"), map_xml(F.col("w.item"), title, kind).alias("xml"))

@@ -46,23 +46,31 @@ def findings(xml: str) -> tuple[bool, list[str], list[str]]:
     return True, errors, warnings
 
 
-def validate(topics: DataFrame) -> DataFrame:
+def validate(topics: DataFrame, *also: str | Column) -> DataFrame:
     """doc_id, topic_no, is_valid, errors, warnings of each XML text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [findings(x or "") for x in batch.column(2).to_pylist()]
             texts = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], texts), pa.array([f[2] for f in found], texts)], ["doc_id", "topic_no", "is_valid", "errors", "warnings"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], texts), pa.array([f[2] for f in found], texts), *batch.columns[3:]], ["doc_id", "topic_no", "is_valid", "errors", "warnings", *batch.schema.names[3:]])
 
-    return topics.select(F.col("doc_id").cast("long"), F.col("topic_no").cast("long"), "xml").mapInArrow(run, "doc_id long, topic_no long, is_valid boolean, errors array<string>, warnings array<string>")
+    rows = topics.select(F.col("doc_id").cast("long"), F.col("topic_no").cast("long"), "xml", *also)
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[3:])
+    return rows.mapInArrow(run, f"doc_id long, topic_no long, is_valid boolean, errors array<string>, warnings array<string>{extra}")
 
 
-def inventory(topics: DataFrame) -> DataFrame:
-    """Counts of elements and words in each XML text, without parsing it."""
+def counts() -> dict[str, Column]:
+    """Counts of elements and words in ``xml``, without parsing it."""
     text = F.regexp_replace(F.regexp_replace("xml", r"(?s)^.*?<!DOCTYPE[^>]*>", ""), "<[^>]*>", " ")
-    count = lambda tag: F.regexp_count("xml", F.lit(f"<{tag}[ >/]"))
-    return topics.select("doc_id", "topic_no", *[count(tag).cast("long").alias(name) for tag, name in (("section", "sections"), ("note", "notes"), ("step", "steps"), ("table", "tables"), ("fig", "figures"))], F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("words"))
+    tags = {"sections": "section", "notes": "note", "steps": "step", "tables": "table", "figures": "fig"}
+    found = {name: F.regexp_count("xml", F.lit(f"<{tag}[ >/]")).cast("long") for name, tag in tags.items()}
+    return found | {"words": F.regexp_count(text, F.lit(r"\S+")).cast("long")}
+
+
+def inventory(topics: DataFrame) -> DataFrame:
+    """Counts of elements and words in each XML text."""
+    return topics.select("doc_id", "topic_no", *[c.alias(name) for name, c in counts().items()])
 
 
 def rollup(counts: DataFrame) -> DataFrame:

@@ -258,9 +258,7 @@ STRIP_SQL = V.with_views("v_blocks", _RENDER + " select doc_id, topic_no, array_
 
 
 def validation_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    topics = _topics(spark, sf_dir)
-    checked = topics.select("doc_id", "topic_no", "filename").join(X.validate(topics), ["doc_id", "topic_no"]).join(X.inventory(topics), ["doc_id", "topic_no"])
-    return X.report(checked)
+    return X.report(X.validate(_topics(spark, sf_dir), "filename", *[c.alias(name) for name, c in X.counts().items()]))
 
 
 _LABELS = (("Sections", "sections"), ("Notes", "notes"), ("Steps", "steps"), ("Tables", "tables"), ("Figures", "figures"), ("Word count", "words"))

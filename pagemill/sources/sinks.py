@@ -30,8 +30,9 @@ def archives(topics: DataFrame, title: object = None, media: DataFrame | None =
     title and file name say so.
     """
     name = F.col("doc_id").cast("string") if title is None else title
-    maps = P.maps(topics, F.concat(name, F.lit(" (selection)")) if selected else name).select("doc_id", F.col("xml").alias("map"))
-    files = topics.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("topic_no", "filename", "xml"))).alias("files")).join(maps, "doc_id")
+    titled = F.concat(name, F.lit(" (selection)")) if selected else name
+    file = F.struct("topic_no", "filename", "xml", P.map_item("map").alias("item"))
+    files = topics.groupBy("doc_id").agg(F.array_sort(F.collect_list(file)).alias("files")).withColumn("map", P.map_xml(F.col("files.item"), titled, "map"))
     empty = F.array().cast("array<struct<href:string,content:binary>>")
     if media is None:
         files = files.withColumn("media", empty)
