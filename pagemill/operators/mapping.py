@@ -6,6 +6,8 @@ Takes the blocks table (doc_id, seq, type, level, list_kind, note_type, text, ro
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,23 @@ HAZARDS = ("notice", "caution", "warning", "danger")
 NOTE_WORDS = ("note", "notes", "notice", "tip", "important")
 REFERENCE_SIGNALS = ("parts list", "the following table", "field name", "abbreviations and acronyms", "appendix", "product codes")
 DEFAULT_TYPE = "concept"
+PATH = r".+\s*>\s*.+"
 FIGURE = r"(?i)^Figure\s+\d[\d\-.]*\s*:\s*(.+)"
 
 
+@dataclass(frozen=True)
+class Profile:
+    """What a mapping profile may set: signs of a reference document, menu paths, the type and element of the rest."""
+
+    signals: tuple[str, ...] = REFERENCE_SIGNALS
+    path: str = PATH
+    default_type: str = DEFAULT_TYPE
+    fallback: str = "drop"
+
+
+USUAL = Profile()
+
+
 def merge_split_headings(blocks: DataFrame) -> DataFrame:
     """Joins level-1 headings that follow one another, two by two."""
     doc = Window.partitionBy("doc_id").orderBy("seq")
@@ -55,9 +71,9 @@ def note_element(text: Column, note_type: Column) -> Column:
     return F.when(note_type.isin(*HAZARDS), F.concat(F.lit("hazard:"), note_type)).otherwise(note)
 
 
-def is_path(text: Column) -> Column:
+def is_path(text: Column, pattern: str = PATH) -> Column:
     """Whether a whole line is a menu path: single words around ``>``."""
-    return text.contains(">") & text.rlike(r"^.+\s*>\s*.+") & ~T.strip(F.replace(text, F.lit(" > "), F.lit(""))).contains(" ")
+    return text.contains(">") & text.rlike(f"^(?:{pattern})") & ~T.strip(F.replace(text, F.lit(" > "), F.lit(""))).contains(" ")
 
 
 def path_steps(text: Column) -> Column:
@@ -82,7 +98,7 @@ def strip_note(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)^Notes?:\s*", "")
 
 
-def assign_elements(blocks: DataFrame) -> DataFrame:
+def assign_elements(blocks: DataFrame, profile: Profile = USUAL) -> DataFrame:
     """Adds ``element``; inline notes lose their prefix, figures get ``caption``."""
     doc = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     h1 = (F.col("type") == "heading") & (F.col("level") == 1)
@@ -90,18 +106,18 @@ def assign_elements(blocks: DataFrame) -> DataFrame:
     kind = F.col("type")
     element = (
         F.when(h1, F.when(nth == 1, "title").otherwise("section_title")).when(kind == "heading", F.when(F.col("level").isin(2, 3), "sectiondiv_title").otherwise("p"))
-        .when(kind == "paragraph", F.when(is_path(F.col("text")), "menucascade").otherwise("p"))
+        .when(kind == "paragraph", F.when(is_path(F.col("text"), profile.path), "menucascade").otherwise("p"))
         .when(kind == "list_item", F.when(F.col("list_kind") == "numbered", "numbered_li").otherwise("ul_li"))
         .when(kind == "note_header", note_element(F.col("text"), F.col("note_type"))).when(kind == "note_inline", "note:note")
-        .when(kind == "table", "table").when(kind == "figure", "fig").when(kind == "code_block", "codeblock").when(kind == "dropped", "dropped").otherwise("drop")
+        .when(kind == "table", "table").when(kind == "figure", "fig").when(kind == "code_block", "codeblock").when(kind == "dropped", "dropped").otherwise(profile.fallback)
     )
     found = blocks.withColumn("element", element).withColumn("caption", F.when(kind == "figure", caption(F.col("text"))))
     return found.withColumn("text", F.when(kind == "note_inline", strip_note(F.col("text"))).otherwise(F.col("text")))
 
 
-def map_blocks(blocks: DataFrame) -> DataFrame:
+def map_blocks(blocks: DataFrame, profile: Profile = USUAL) -> DataFrame:
     """The three passes in order."""
-    return assign_elements(reclassify_callouts(merge_split_headings(blocks)))
+    return assign_elements(reclassify_callouts(merge_split_headings(blocks)), profile)
 
 
 def split_paths(mapped: DataFrame) -> DataFrame:
@@ -118,14 +134,14 @@ def split_paths(mapped: DataFrame) -> DataFrame:
     return found.select(*[new.get(c, F.col(c)).alias(c) for c in mapped.columns])
 
 
-def document_types(blocks: DataFrame) -> DataFrame:
+def document_types(blocks: DataFrame, profile: Profile = USUAL) -> DataFrame:
     """doc_id, topic_type: two numbered items make a task, tables or signal words a reference."""
     signal = F.lit(False)
-    for word in REFERENCE_SIGNALS:
+    for word in profile.signals:
         signal = signal | F.lower("text").contains(word)
     counted = blocks.groupBy("doc_id").agg(
         F.count_if(F.col("list_kind") == "numbered").alias("numbered"), F.count_if(F.col("type") != "heading").alias("body"),
         F.count_if(F.col("type") == "table").alias("tables"), F.bool_or(F.coalesce(signal, F.lit(False))).alias("signal"),
     )
-    kind = F.when(F.col("numbered") >= 2, "task").when((F.col("body") > 0) & (F.col("tables") * 2 >= F.col("body")), "reference").when(F.col("signal"), "reference").otherwise(DEFAULT_TYPE)
+    kind = F.when(F.col("numbered") >= 2, "task").when((F.col("body") > 0) & (F.col("tables") * 2 >= F.col("body")), "reference").when(F.col("signal"), "reference").otherwise(profile.default_type)
     return counted.select("doc_id", kind.alias("topic_type"))

@@ -28,13 +28,22 @@ def in_footer(top: Column, size: Column, height: Column) -> Column:
     return (top >= height * 0.93) | ((top >= height * 0.90) & (F.coalesce(size, F.lit(99.0)) <= SMALL_TEXT))
 
 
+def reaching(bottom: Column, height: Column) -> Column:
+    return bottom > height * 0.95
+
+
 def footer_words(words: DataFrame) -> DataFrame:
     """Footer text lines of each page, lowest two at most, as ``lines``.
 
-    Takes words with the page's ``height``.  Words belong to a line by the distance from its
+    Takes words with the page's ``height``; where they have ``bottom``, a page without footer
+    words gives those that reach into its lowest twentieth.  Words belong to a line by the distance from its
     first word, so lines are found by a fold over the page's few footer words.
     """
-    low = words.where(in_footer(F.col("top"), F.col("size"), F.col("height")) & (F.trim("text") != ""))
+    own = in_footer(F.col("top"), F.col("size"), F.col("height"))
+    low = words.where((own | reaching(F.col("bottom"), F.col("height")) if "bottom" in words.columns else own) & (F.trim("text") != ""))
+    if "bottom" in words.columns:
+        some = F.bool_or(own).over(Window.partitionBy("doc_id", "page_no"))
+        low = low.withColumns({"own": own, "some": some}).where("own or not some")
     word = F.struct(F.bround(F.col("top") / 3).alias("band"), "x0", "top", F.trim("text").alias("text"))
     pages = low.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(word)).alias("w"))
     kind = "array<struct<first:double,top:double,words:array<struct<x0:double,text:string>>>>"

@@ -297,12 +297,16 @@ select type, list_kind, count(*) as n, count(distinct doc_id) as n_docs from al
 
 
 def png_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as 8 by 8 grey PNGs, scaled, padded, bordered; sizes and a digest."""
+    """Vectors as grey PNGs of 8 pixels a row, scaled, padded, bordered; sizes and a digest."""
     @F.pandas_udf(BinaryType())
     def png(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: I.write_png(np.clip(np.abs(np.array(v[:64], dtype=float)) * 500, 0, 255).astype(np.uint8).reshape(8, 8, 1)))
+        def one(v: np.ndarray) -> bytes:
+            grey = np.clip(np.abs(np.nan_to_num(np.array(v, dtype=float))) * 500, 0, 255).astype(np.uint8)
+            return I.write_png(np.pad(grey, (0, -len(grey) % 8), constant_values=255).reshape(-1, 8, 1))
 
-    images = V.table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select(F.col("vec_id").alias("id"), png("embedding").alias("content"))
+        return values.map(one)
+
+    images = V.table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select(F.col("vec_id").alias("id"), png("embedding").alias("content"))
     bad = V.literal(spark, "id long", [(-1,)]).select("id", F.lit(b"not an image").alias("content"))
     found = I.process_images(images.union(bad), padding=5, border=2, width=32, height=20)
     return found.select("id", "w", "h", "error", F.length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))

@@ -6,6 +6,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.operators.mapping import USUAL, Profile
+
 #: Keys that a mapping profile must have.
 REQUIRED = ("heading_map", "paragraph_map", "list_map", "note_map", "figure_map", "table_map")
 
@@ -21,6 +23,12 @@ def load_mapping(path: str, required: tuple[str, ...] = REQUIRED) -> dict[str, A
     return rules
 
 
+def profile(rules: dict[str, Any]) -> Profile:
+    """What the mapper takes from a mapping profile; what that leaves out is as usual."""
+    signals = tuple(str(x).lower() for x in (rules.get("topic_type_signals") or {}).get("reference", USUAL.signals))
+    return Profile(signals, rules.get("ui_path_pattern", USUAL.path), rules.get("topic_type", USUAL.default_type), rules.get("fallback_element", USUAL.fallback))
+
+
 def load_quality(path: str) -> dict[str, Any]:
     """Quality rules; an unreadable file gives none."""
     import yaml

@@ -188,3 +188,17 @@ def test_selections_hold_their_media(spark):
 def test_unreadable_files_are_error_rows(spark):
     files = spark.createDataFrame([(1, bytearray(b"no zip")), (2, bytearray(docx.write_docx([("", "ok text")])))], "doc_id long, content binary")
     assert [r.doc_id for r in docx.errors(docx.parse(files)).collect()] == [1]
+
+
+def test_profiles_steer_the_mapper(spark):
+    got = rules.profile({"topic_type_signals": {"reference": ["Spare Parts"]}, "ui_path_pattern": r"menu.+>.+", "topic_type": "topic", "fallback_element": "p"})
+    found = spark.createDataFrame([block(1, 0, "heading", "T", 1), block(1, 1, "paragraph", "a > b"), block(1, 2, "paragraph", "menu > b"), block(1, 3, "odd", "x"), block(2, 0, "paragraph", "see spare parts"), block(3, 0, "paragraph", "parts list")], BLOCK)
+    assert [r.element for r in mapping.map_blocks(found.where("doc_id = 1"), got).orderBy("seq").collect()] == ["title", "p", "menucascade", "p"]
+    assert {r.doc_id: r.topic_type for r in mapping.document_types(found, got).collect()} == {1: "topic", 2: "reference", 3: "topic"}
+    assert rules.profile({}) == mapping.USUAL
+
+
+def test_footers_fall_back_to_the_lowest_band(spark):
+    rows = [(1, 0, "Tall", 10.0, 700.0, 790.0, 40.0), (1, 0, "body", 10.0, 300.0, 310.0, 11.0), (1, 1, "Tall", 10.0, 700.0, 790.0, 40.0), (1, 1, "Foot", 10.0, 760.0, 770.0, 11.0)]
+    words = spark.createDataFrame(rows, "doc_id long, page_no int, text string, x0 double, top double, bottom double, size double").withColumn("height", F.lit(800.0))
+    assert {r.page_no: r.lines for r in quality.footer_words(words).collect()} == {0: ["Tall"], 1: ["Foot"]}
