@@ -10,8 +10,9 @@ H + 1, some segment differs in fewer than d_k elements: its subsets are equal (d
 equal after one deletion (d_k = 2).  The index holds every segment's subset, and the
 one-deletion neighbours of some segments; a set probes with the cheapest demands
 that sum to H + 1 (*cost-based allocation*): the cost of a subset is the estimated document
-frequency of its rarest shingle, and empty subsets cost most.  Any allocation is exact;
-estimates only steer cost.
+frequency of its rarest shingle, and empty subsets cost most.  Frequencies come from a count
+sketch: signed sums over all shingles of all documents in a fixed number of cells.  Any
+allocation is exact; estimates only steer cost.
 
 *Short texts.*  Where a band has few segments a set may lack filled ones, and would have to
 probe with empty ones that unrelated sets share.  Sets of under 114 shingles therefore get the
@@ -55,8 +56,8 @@ ZONE, CLOSE_ZONE = 16, 4  # every so many segments, one keeps its one-deletion n
 CLOSE = 16  # bands up to which they lie closer
 SMALL_GROUP = 4
 STAR = 256  # partners that one verification group holds
-SAMPLE = 20_000  # documents whose shingles are counted to estimate costs
-HOT = 200_000  # frequent shingles kept as estimates
+SKETCH = 1 << 18  # cells of the count sketch, 8 bytes each
+PIECE = 512  # of its cells that are one row
 TILE = 256  # members of a large group that one task compares with as many
 _FLUSH = 1_000_000
 _TOKEN = U(10)  # bits of a hash that make room for the row
@@ -93,57 +94,78 @@ def class_ids(rows: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
     return sums.view(np.int64)
 
 
+def _cell(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of the sketch that counts a token, and its sign there."""
+    found = mix(tokens, 46)
+    return (found >> U(64 - SKETCH.bit_length() + 1)).astype(np.int64), 1 - 2 * (found & U(1)).astype(np.int64)
+
+
+def _pieces(sketch: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The pieces of a sketch that count something: their numbers and cells."""
+    cells = sketch.reshape(-1, PIECE)
+    some = np.flatnonzero(cells.any(axis=1))
+    return some, [cells[k].tobytes() for k in some]
+
+
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a document, then this task's sketch: rows with a piece's number and its cells."""
+    names = ["doc_id", "n_shingles", "class", "cells", "piece"]
+    sketch = np.zeros(SKETCH, dtype=np.int64)
     for batch in batches:
         for chunk in chunks(batch.column(1), lower=True):
             n = chunk.hi - chunk.lo
             rows, tokens = sets(chunk)
+            cell, sign = _cell(tokens)
+            sketch += np.bincount(cell, weights=sign, minlength=SKETCH).astype(np.int64)
             cells = np.bincount(rows * CELLS + (tokens >> U(47)).astype(np.int64), minlength=n * CELLS).reshape(n, CELLS)
             cells = np.minimum(cells, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(chunk.lo, n), pa.array(np.bincount(rows, minlength=n), pa.int64()),
-                    pa.array(class_ids(rows, tokens, n)), pa.array([x.tobytes() for x in cells], pa.binary()),
+                    pa.array(class_ids(rows, tokens, n)), pa.array([x.tobytes() for x in cells], pa.binary()), pa.nulls(n, pa.int32()),
                 ],
-                ["doc_id", "n_shingles", "class", "cells"],
+                names,
             )
+    some, cells = _pieces(sketch)
+    if len(some):
+        none = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(cells, pa.binary()), pa.array(some, pa.int32())], names)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the (piece, cells) that a task reads; it holds one sketch."""
+    sketch = np.zeros((SKETCH // PIECE, PIECE), dtype=np.int64)
     for batch in batches:
-        for chunk in chunks(batch.column(0), lower=True):
-            token, n = np.unique(sets(chunk)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
+        for piece, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            sketch[piece] += np.frombuffer(cells.as_buffer(), dtype=np.int64)
+    some, cells = _pieces(sketch)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(cells, pa.binary())], ["piece", "cells"])
 
 
-def hot_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens frequent in a sample of at most about SAMPLE documents, and their frequency in all.
+def shingle_sketch(profiled: DataFrame) -> np.ndarray:
+    """The count sketch of all documents, from the parts that ``_profiles`` gave.
 
-    Only costs depend on it: any answer, empty ones included, leaves the join exact.
+    Parts are added in tasks, then piece by piece; the sums, SKETCH numbers, reach the driver.
     """
-    share = min(1.0, SAMPLE / max(1, n))
-    part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counted = part.select("text").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = counted.where("n >= 4").orderBy(F.desc("n"), "token").limit(HOT).collect()
-    token = np.array([r.token for r in found], dtype=np.int64).view(U)
-    order = np.argsort(token)
-    return token[order], (np.array([r.n for r in found], dtype=np.int64) / share).astype(np.int64)[order]
+    schema = "piece int, cells binary"
+    parts = profiled.where("piece is not null").select("piece", "cells").mapInArrow(_added, schema)
+    found = parts.repartition(min(tasks(profiled.sparkSession), SKETCH // PIECE), "piece").mapInArrow(_added, schema).collect()
+    sketch = np.zeros((SKETCH // PIECE, PIECE), dtype=np.int64)
+    for row in found:
+        sketch[row.piece] = np.frombuffer(row.cells, dtype=np.int64)
+    return sketch.ravel()
 
 
 class Signatures:
     """Index and probe hashes of the sets of a chunk."""
 
-    def __init__(self, hot: tuple[np.ndarray, np.ndarray]) -> None:
-        self.tokens, self.frequency = hot
+    def __init__(self, sketch: np.ndarray) -> None:
+        self.sketch = sketch
 
     def costs(self, tokens: np.ndarray) -> np.ndarray:
-        found = np.ones(len(tokens), dtype=np.int64)
-        if len(self.tokens):
-            at = np.searchsorted(self.tokens, tokens)
-            at[at == len(self.tokens)] = 0
-            same = self.tokens[at] == tokens
-            found[same] = self.frequency[at[same]]
-        return found
+        """Estimated document frequencies of tokens, at least 1."""
+        cell, sign = _cell(tokens)
+        return np.maximum(self.sketch[cell] * sign, 1)
 
     def of_band(self, sizes: np.ndarray, rows: np.ndarray, tokens: np.ndarray, band: np.ndarray, indexed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, hash, flags) of rows of ``sizes`` > 0 in the segments of ``band``, one a row."""
@@ -215,11 +237,11 @@ _BLOB = "bucket int, classes binary, sizes binary, counts binary, low binary, hi
 _BLOB_NAMES = ["bucket", "classes", "sizes", "counts", "low", "high"]
 
 
-def _signatures(hot: tuple[np.ndarray, np.ndarray], buckets: int) -> Callable:
+def _signatures(sketch: np.ndarray, buckets: int) -> Callable:
     """Packed hashes for each bucket: 38 bits and two flags each, in the order of their class."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, seen = Signatures(hot), set()
+        make, seen = Signatures(sketch), set()
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
 
@@ -516,19 +538,20 @@ def _rest(groups: DataFrame, components_of: DataFrame, classes: DataFrame) -> Da
 
 
 def profiles(docs: DataFrame) -> DataFrame:
+    """Of each row its set's size, name and counts in cells; rows with a piece are parts of the sketch."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_profiles, "doc_id long, n_shingles long, class long, cells binary")
+    return rows.mapInArrow(_profiles, "doc_id long, n_shingles long, class long, cells binary, piece int")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
     n = tasks(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    profile = written(narrow(profiles(docs)), "profiles")
+    profiled = written(narrow(profiles(docs)), "profiles")
+    profile = profiled.where("piece is null").drop("piece")
     known = profile.where("n_shingles > 0 and doc_id is not null")
     classes = written(narrow(known.groupBy("class", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("cells").alias("cells"))), "classes")
-    hot = hot_shingles(rows, profile.count())
-    blobs = rows.where("doc_id is not null").select("text").mapInArrow(_signatures(hot, n), _BLOB)
+    blobs = rows.where("doc_id is not null").select("text").mapInArrow(_signatures(shingle_sketch(profiled), n), _BLOB)
     found = written(narrow(dealt(blobs, n, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, _FOUND)), "candidates")
 
     tried = written(narrow(_within(found.where("kind = 0").select("a", "b").distinct(), classes)), "pairs")

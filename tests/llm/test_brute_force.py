@@ -99,7 +99,7 @@ def compared(made):
     """Pairs that meet in some group of equal signatures and may link, by the operator's own functions."""
     import pyarrow as pa
 
-    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    none = np.zeros(ngram_join.SKETCH, dtype=np.int64)
     column = pa.RecordBatch.from_arrays([pa.array(made)], ["text"])
     blobs = [b for b in ngram_join._signatures(none, 1)([column])]
     total = 0
@@ -116,6 +116,26 @@ def test_short_unrelated_texts_are_not_compared():
     assert all(c <= n / 100 for c, n in zip(counts, (2000, 4000, 8000), strict=True)), counts
 
 
+def test_shingle_sketch_counts_all_documents(spark, docs, texts):
+    """Estimated frequencies of shingles against counting, over every document and any partitions."""
+    import pyarrow as pa
+
+    true = {}
+    for text in texts.values():
+        for shingle in shingles(text):
+            true[shingle] = true.get(shingle, 0) + 1
+    sketch = ngram_join.shingle_sketch(ngram_join.profiles(docs))
+    assert (sketch == ngram_join.shingle_sketch(ngram_join.profiles(docs.repartition(7)))).all()
+    often = sorted(true, key=true.get)[-300:]
+    (chunk,) = ngram_join.chunks(pa.array([" ".join(s) for s in often]), lower=True)
+    rows, tokens = ngram_join.sets(chunk)
+    wrong = ngram_join.Signatures(sketch).costs(tokens) - np.array([true[often[r]] for r in rows])
+    spread = (sum(n * n for n in true.values()) / ngram_join.SKETCH) ** 0.5
+    assert np.sqrt(np.mean(wrong.astype(float) ** 2)) <= 2 * spread  # expected: the spread
+    empty = ngram_join.shingle_sketch(ngram_join.profiles(docs.limit(0)))
+    assert len(empty) == ngram_join.SKETCH and not empty.any()
+
+
 def test_versions_of_a_document_are_all_compared(spark):
     """One doc_id that is the least of two classes: each of its texts finds its near copies."""
     rng = random.Random(2)
