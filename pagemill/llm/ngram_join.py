@@ -56,8 +56,9 @@ ZONE, CLOSE_ZONE = 16, 4  # every so many segments, one keeps its one-deletion n
 CLOSE = 16  # bands up to which they lie closer
 SMALL_GROUP = 4
 STAR = 256  # partners that one verification group holds
-SKETCH = 1 << 18  # cells of the count sketch, 8 bytes each
-PIECE = 512  # of its cells that are one row
+SKETCH = 1 << 20  # cells of the count sketch
+PIECE = 2048  # of its cells that are one row
+NOISE = 4  # times a cell's usual noise that an estimate must reach to count
 TILE = 256  # members of a large group that one task compares with as many
 _FLUSH = 1_000_000
 _TOKEN = U(10)  # bits of a hash that make room for the row
@@ -101,10 +102,14 @@ def _cell(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(sketch: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The pieces of a sketch that count something: their numbers and cells."""
+    """The pieces of a sketch that count something: their numbers, and cells as narrow as they may be."""
     cells = sketch.reshape(-1, PIECE)
     some = np.flatnonzero(cells.any(axis=1))
-    return some, [cells[k].tobytes() for k in some]
+    return some, [cells[k].astype(np.result_type(np.min_scalar_type(cells[k].min()), np.min_scalar_type(-cells[k].max()))).tobytes() for k in some]
+
+
+def _unpacked(cells: bytes) -> np.ndarray:
+    return np.frombuffer(cells, dtype=f"i{len(cells) // PIECE}")
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +121,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = chunk.hi - chunk.lo
             rows, tokens = sets(chunk)
             cell, sign = _cell(tokens)
-            sketch += np.bincount(cell, weights=sign, minlength=SKETCH).astype(np.int64)
+            np.add.at(sketch, cell, sign)
             cells = np.bincount(rows * CELLS + (tokens >> U(47)).astype(np.int64), minlength=n * CELLS).reshape(n, CELLS)
             cells = np.minimum(cells, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
@@ -137,7 +142,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros((SKETCH // PIECE, PIECE), dtype=np.int64)
     for batch in batches:
         for piece, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            sketch[piece] += np.frombuffer(cells.as_buffer(), dtype=np.int64)
+            sketch[piece] += _unpacked(cells.as_buffer().to_pybytes())
     some, cells = _pieces(sketch)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(cells, pa.binary())], ["piece", "cells"])
 
@@ -152,7 +157,7 @@ def shingle_sketch(profiled: DataFrame) -> np.ndarray:
     found = parts.repartition(min(tasks(profiled.sparkSession), SKETCH // PIECE), "piece").mapInArrow(_added, schema).collect()
     sketch = np.zeros((SKETCH // PIECE, PIECE), dtype=np.int64)
     for row in found:
-        sketch[row.piece] = np.frombuffer(row.cells, dtype=np.int64)
+        sketch[row.piece] = _unpacked(row.cells)
     return sketch.ravel()
 
 
@@ -161,11 +166,13 @@ class Signatures:
 
     def __init__(self, sketch: np.ndarray) -> None:
         self.sketch = sketch
+        self.least = NOISE * float(np.median(np.abs(sketch))) / 0.6745  # the median of a normal variable's size
 
     def costs(self, tokens: np.ndarray) -> np.ndarray:
-        """Estimated document frequencies of tokens, at least 1."""
+        """Estimated document frequencies of tokens; those that don't stand out from the noise are 1."""
         cell, sign = _cell(tokens)
-        return np.maximum(self.sketch[cell] * sign, 1)
+        found = self.sketch[cell] * sign
+        return np.where(found > self.least, np.maximum(found, 1), 1)
 
     def of_band(self, sizes: np.ndarray, rows: np.ndarray, tokens: np.ndarray, band: np.ndarray, indexed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, hash, flags) of rows of ``sizes`` > 0 in the segments of ``band``, one a row."""
