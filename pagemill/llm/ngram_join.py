@@ -244,6 +244,16 @@ _BLOB = "bucket int, classes binary, sizes binary, counts binary, low binary, hi
 _BLOB_NAMES = ["bucket", "classes", "sizes", "counts", "low", "high"]
 
 
+def _narrowed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0, as narrow as the largest allows; a reader tells the width from the length."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max()))).tobytes()
+
+
+def _numbers(blobs: list[dict], name: str) -> np.ndarray:
+    """A ``_narrowed`` column of some blobs, one number a class."""
+    return np.concatenate([np.frombuffer(x[name], dtype=f"u{len(x[name]) * 8 // len(x['classes'])}").astype(np.int64) for x in blobs])
+
+
 def _signatures(sketch: np.ndarray, buckets: int) -> Callable:
     """Packed hashes for each bucket: 38 bits and two flags each, in the order of their class."""
 
@@ -270,7 +280,7 @@ def _signatures(sketch: np.ndarray, buckets: int) -> Callable:
                 i, j = at[b], at[b + 1]
                 if i < j:
                     own, n = np.unique(row[i:j], return_counts=True)
-                    out.append((b, name[own].tobytes(), size[own].astype(np.int32).tobytes(), n.astype(np.uint32).tobytes(), low[i:j].tobytes(), high[i:j].tobytes()))
+                    out.append((b, name[own].tobytes(), _narrowed(size[own]), _narrowed(n), low[i:j].tobytes(), high[i:j].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 0 else pa.binary()) for k, x in enumerate(zip(*out, strict=True))], _BLOB_NAMES)
 
         for batch in batches:
@@ -324,8 +334,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def joined(blobs: list[dict]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(b"".join(x["classes"] for x in blobs), np.int64)
-        sizes = np.frombuffer(b"".join(x["sizes"] for x in blobs), np.int32)
-        counts = np.frombuffer(b"".join(x["counts"] for x in blobs), np.uint32)
+        sizes, counts = _numbers(blobs, "sizes"), _numbers(blobs, "counts")
         high = np.frombuffer(b"".join(x["high"] for x in blobs), np.uint8)
         found = (high >> 2).astype(U) << U(32) | np.frombuffer(b"".join(x["low"] for x in blobs), np.uint32)
         order = np.argsort(found)
@@ -334,7 +343,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multiple = np.append(same, False) | np.append(False, same)
         found, order = found[multiple], order[multiple]
         which = np.searchsorted(np.cumsum(counts), order, side="right")
-        owner, size, flags = classes[which], sizes[which].astype(np.int64), (high[order] & 3).astype(np.int64)
+        owner, size, flags = classes[which], sizes[which], (high[order] & 3).astype(np.int64)
         order = np.lexsort((owner, found))  # one class comes once, with all its flags
         found, owner, size, flags = found[order], owner[order], size[order], flags[order]
         first = np.flatnonzero(np.append(True, (np.diff(found) != 0) | (np.diff(owner) != 0))) if len(found) else np.empty(0, int)
