@@ -41,6 +41,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -574,8 +575,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("class"), "size", "flags").distinct()
     whole = classes.select(F.col("rep").alias("doc"), "class")
     wanted = tried.select(F.col("a").alias("doc")).union(tried.select("b")).union(groups.select("class").distinct().join(whole, "class").select("doc"))
-    texts = rows.select(F.col("doc_id").alias("doc"), "text").join(wanted.distinct().join(whole, "doc"), "doc")
-    texts = written(texts, "texts")
+    texts = rows.select(F.col("doc_id").alias("doc"), "text").repartition(n, "doc").join(wanted.distinct().join(whole, "doc"), "doc")
+    texts = texts.persist(StorageLevel.DISK_ONLY)  # unlike a written table it stays dealt by doc, so that neither round moves it again
     versions = known.groupBy("doc_id").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("doc_id")
     own = known.join(versions, "doc_id").join(classes.select("class", "rep"), "class").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = written(narrow(_links(tried, texts).union(own)), "links")
@@ -583,6 +584,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = written(narrow(_rest(groups, near, classes).join(tried, ["a", "b"], "left_anti")), "rest")
     if rest.limit(1).count():
         near = components(links.union(written(narrow(_links(rest, texts)), "links")))
+    texts.unpersist()
     found = profile.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
     found = found.join(classes.select("class", "rep"), "class", "left").join(near.withColumnRenamed("vertex", "rep"), "rep", "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
