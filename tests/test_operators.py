@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text
 from pagemill.functions import text as T
 from pagemill.operators import figures, images, lines, mapping, pages, quality, tables, topics, validate
+from pagemill.plans import line_queries
 from pagemill.sources import docx, rules, schemas, sinks
 from pagemill.streaming import arrivals
 
@@ -240,3 +241,8 @@ def test_nearest_marks_equal_brute_force_and_no_place_is_copied(spark):
         if near:
             wanted[doc, page, k] = (min(near)[0], min(near)[2])
     assert {(r.doc_id, r.page_no, r.id): (r.mark_y, r.uri) for r in found.collect()} == wanted and len(wanted) > 200
+
+
+def test_numbered_steps_shuffle_each_span_a_few_times_only(spark):
+    folder = "/root/testdata/sf0.001"
+    assert 0 < shuffled_rows(line_queries.band_join_numbers(spark, folder)) < 3 * spark.read.parquet(f"{folder}/events.parquet").count()
