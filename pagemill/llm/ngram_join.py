@@ -23,7 +23,8 @@ sets too few filled segments are five or more standard deviations away.
 *Candidates.*  Subset hashes are grouped by value.  Small groups give their pairs; a large
 group first gives a star around one member, and after these are verified only the pairs of
 members outside its largest component, so a group of near copies never gives all of its
-pairs.  Candidates pass an exact bound (the difference of two sets is at least that of their
+pairs.  Of these, one a document comes first, and the others only where their ends are still
+in different components.  Candidates pass an exact bound (the difference of two sets is at least that of their
 element counts in 128 cells of the universe) and are then verified on the words of whole
 texts.
 
@@ -554,6 +555,19 @@ def _rest(groups: DataFrame, components_of: DataFrame, classes: DataFrame) -> Da
     return written(narrow(dealt_out.mapInArrow(_across, "a long, b long").distinct()), "across")
 
 
+def _first_of_each(pairs: DataFrame) -> DataFrame:
+    """One pair of each document that is in some: a pair with its least partner above it, and one with that below."""
+    above, below = pairs.groupBy("a").agg(F.min("b").alias("b")), pairs.groupBy("b").agg(F.min("a").alias("a"))
+    return above.unionByName(below).distinct()
+
+
+def _apart(pairs: DataFrame, components_of: DataFrame) -> DataFrame:
+    """Pairs of different components; a link within one would change nothing."""
+    of = lambda end: components_of.select(F.col("vertex").alias(end), F.col("component").alias(f"of_{end}"))
+    placed = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return placed.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def profiles(docs: DataFrame) -> DataFrame:
     """Of each row its set's size, name and counts in cells; rows with a piece are parts of the sketch."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -583,7 +597,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = components(links)
     rest = written(narrow(_rest(groups, near, classes).join(tried, ["a", "b"], "left_anti")), "rest")
     if rest.limit(1).count():
-        near = components(links.union(written(narrow(_links(rest, texts)), "links")))
+        first = written(narrow(_first_of_each(rest)), "first")
+        links = links.union(written(narrow(_links(first, texts)), "links"))
+        near = components(links)
+        rest = written(narrow(_apart(rest.join(first, ["a", "b"], "left_anti"), near)), "apart")
+        if rest.limit(1).count():
+            near = components(links.union(written(narrow(_links(rest, texts)), "links")))
     texts.unpersist()
     found = profile.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
     found = found.join(classes.select("class", "rep"), "class", "left").join(near.withColumnRenamed("vertex", "rep"), "rep", "left")

@@ -672,3 +672,16 @@ def test_pipeline_stages_are_plain_ones(spark, docs, texts):
         if name != "sentencepiece":
             assert after.columns == docs.columns
             now, before = spark.createDataFrame(rows, docs.schema), {r.doc_id: r for r in rows}
+
+
+def test_pairs_of_large_groups_are_verified_only_while_their_ends_are_apart(spark, monkeypatch):
+    words = [f"w{k}" for k in range(300)]
+    docs = spark.createDataFrame([(k, " ".join([*words[: 5 * k + 40], f"x{k}", *words[5 * k + 41 :]])) for k in range(40)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(a + 1, 40)], "a long, b long")
+    counts, real = [], ngram_join._links
+    monkeypatch.setattr(ngram_join, "_rest", lambda *_: pairs)
+    monkeypatch.setattr(ngram_join, "_within", lambda found, classes: pairs.where("false"))
+    monkeypatch.setattr(ngram_join, "_links", lambda near, texts: counts.append(near.count()) or real(near, texts))
+    wanted = ngram_join.near_duplicates(docs).collect()
+    assert {r.component_id for r in wanted} == {0} and len(wanted) == 40
+    assert sum(counts) <= 2 * 40
